@@ -1,0 +1 @@
+"""The workload is batch only: there is no streaming operator to express."""
