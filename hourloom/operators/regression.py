@@ -331,3 +331,103 @@ def additive_forecast(
         "ts",
         dot(additive_regressors(F.col("ts"), F.col("anchor")), F.col("coef")).alias("y_pred"),
     )
+
+
+def harmonic_moment_report(
+    features: DataFrame, folds: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS
+) -> DataFrame:
+    """Readable part of the harmonic model's segment sums, for checking them."""
+    names = tl.fourier_names()
+    segments = fold_segments(folds, cfg.sarima_years, keys)
+    sums = segment_moments(harmonic_rows(features, keys, cfg), segments, _HARMONIC_BLOCKS, keys)
+    y, width = _X, _X + 1
+    lag_width = _X + 3
+
+    def level(row, col):
+        return F.col("moments")[row * width + col]
+
+    def lagged(row, col):
+        return F.col("moments")[width * width + row * lag_width + col]
+
+    return sums.select(
+        *keys,
+        "seg",
+        level(0, 0).cast("bigint").alias("n"),
+        F.round(level(0, y), 3).alias("sum_y"),
+        F.round(level(1 + names.index("sin_24_1"), y), 3).alias("y_sin24"),
+        F.round(level(1 + names.index("cos_168_3"), y), 3).alias("y_cos168"),
+        lagged(0, 0).cast("bigint").alias("n_lagged"),
+        F.round(lagged(_X, _X + 1) / 1_000_000, 3).alias("y_y1"),
+        F.round(lagged(_X, _X + 2) / 1_000_000, 3).alias("y_y2"),
+    )
+
+
+# ------------------------------------------------- training-fold standardisation
+
+def standardisation(
+    features: DataFrame, folds: DataFrame, years: float | None = None, keys=KEYS,
+    cfg: Settings = DEFAULTS,
+) -> DataFrame:
+    """Mean and population standard deviation (+1e-8) per fold over its training days: of all
+    targets (pos 0) and of each exogenous position (pos 1..144).
+
+    Days are summed per segment between fold boundaries; running totals over the few segments
+    then serve every fold, so history is read once and not once per fold.
+    """
+    from hourloom.operators.features import sequence_windows
+
+    keys = list(keys)
+    years = cfg.lstm_years if years is None else years
+    # A day trains a fold if its week of history starts inside the window and it ends by the cutoff.
+    days = sequence_windows(features, keys, cfg).withColumn(
+        "ts", tl.midnight(F.col("op_date")) + tl.hours(cfg.op_day_offset_h - 168)
+    )
+    shifted = folds.withColumn("cutoff", F.col("cutoff") - tl.hours(168 + cfg.horizon - 1))
+    start_mark = window_start(F.col("cutoff") + tl.hours(168 + cfg.horizon - 1), years)
+    marks = shifted.withColumn("start_mark", start_mark - F.expr("INTERVAL '0.000001' SECOND"))
+    cuts = marks.groupBy(*keys).agg(
+        F.array_sort(
+            F.array_distinct(F.concat(F.collect_set("cutoff"), F.collect_set("start_mark")))
+        ).alias("cuts")
+    )
+    values = F.concat(F.array(F.lit(None).cast("double")), F.col("exog"))
+    tagged = days.join(cuts, keys).select(
+        *keys, F.size(F.filter("cuts", lambda c: c < F.col("ts"))).alias("seg"), "target",
+        F.posexplode(values).alias("pos", "x"),
+    )
+    total = F.lit(0.0)
+    is_y = F.col("pos") == 0
+    sums = tagged.groupBy(*keys, "pos", "seg").agg(
+        F.sum(F.when(is_y, F.size("target")).otherwise(1)).alias("n"),
+        F.sum(F.when(is_y, F.aggregate("target", total, lambda a, v: a + v)).otherwise(F.col("x"))).alias("s"),
+        F.sum(
+            F.when(is_y, F.aggregate("target", total, lambda a, v: a + v * v)).otherwise(F.col("x") ** 2)
+        ).alias("q"),
+    )
+    # Every (position, segment), so that running totals can be read at any boundary.
+    dense = cuts.select(
+        *keys, F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("seg"),
+    ).select(*keys, "seg", F.explode(F.sequence(F.lit(0), F.lit(6 * cfg.horizon))).alias("pos"))
+    run = Window.partitionBy(*keys, "pos").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    running = dense.join(sums, [*keys, "pos", "seg"], "left").select(
+        *keys, "pos", "seg", *[F.coalesce(F.sum(c).over(run), F.lit(0)).alias(c) for c in ("n", "s", "q")]
+    )
+    edges = marks.join(cuts, keys).select(
+        *keys,
+        "fold",
+        F.inline(
+            F.array(
+                F.struct((F.array_position("cuts", F.col("cutoff")) - 1).cast("int").alias("seg"), F.lit(1).alias("sign")),
+                F.struct((F.array_position("cuts", F.col("start_mark")) - 1).cast("int").alias("seg"), F.lit(-1).alias("sign")),
+            )
+        ),
+    )
+    window = (
+        edges.join(running, [*keys, "seg"])
+        .groupBy(*keys, "fold", "pos")
+        .agg(*[F.sum(F.col(c) * F.col("sign")).alias(c) for c in ("n", "s", "q")])
+        .where("n > 0")
+    )
+    mean = F.col("s") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))) + F.lit(1e-8)
+    return window.select(*keys, "fold", "pos", F.col("n").cast("bigint").alias("n"), mean.alias("mean"), spread.alias("std"))
