@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hourloom.config import DEFAULTS, FLAGS, KEYS, Settings
 from hourloom.functions import timeline as tl
 from hourloom.operators.features import with_halo
+from hourloom.operators.regression import key_ddl
 
 
 def day_type_profile(clean: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -131,7 +132,7 @@ def lag_products(series: DataFrame, lags: int, keys=KEYS, cfg: Settings = DEFAUL
     rows = halo.join(mean, keys).select(
         *keys, "__block", "ts", "__own", (F.col("load") - F.col("__mean")).alias("x"), "n_obs"
     )
-    key_type = series.select(*keys).schema.simpleString()[7:-1].replace(":", " ")
+    key_type = key_ddl(series, keys)
 
     def products(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
@@ -172,7 +173,7 @@ def pacf(
     recent = clean.join(end, keys).where(F.col("ts") > F.col("__end") - tl.hours(last_hours))
     sums = lag_products(recent, lags, keys, cfg)
     cov = sums.withColumn("c", F.try_divide(F.col("s"), F.col("n_obs") - F.col("lag")))
-    key_type = clean.select(*keys).schema.simpleString()[7:-1].replace(":", " ")
+    key_type = key_ddl(clean, keys)
 
     def recursion(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lag")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +46,23 @@ def fold_segments(folds: DataFrame, years: float, keys=KEYS) -> DataFrame:
     )
 
 
-def _moments(z: np.ndarray) -> np.ndarray:
-    """Moment matrix of the complete rows."""
+def _triangle(z: np.ndarray) -> np.ndarray:
+    """Upper triangle of the moment matrix of the complete rows."""
     z = z[np.isfinite(z).all(axis=1)]
-    return z.T @ z
+    return (z.T @ z)[np.triu_indices(z.shape[1])]
+
+
+def _square(tri: np.ndarray, size: int) -> np.ndarray:
+    full = np.zeros((size, size))
+    full[np.triu_indices(size)] = tri
+    return full + np.triu(full, 1).T
 
 
 def segment_moments(rows: DataFrame, segments: DataFrame, blocks, keys=KEYS) -> DataFrame:
-    """Moment matrices per (series, segment) of the column groups `blocks` of the vector `z`.
+    """Partial moment matrices per (series, segment) of the column groups `blocks` of vector `z`.
 
-    `rows` holds keys, ts and z (array<double>, null where unknown). Matrices are summed within
-    each Arrow batch before the shuffle, so what moves is one matrix per segment a batch touches.
+    `rows` holds keys, ts and z (array<double>, NaN where unknown). Rows are summed within each
+    Arrow batch where they lie, so what moves later is one matrix per segment a batch touches.
     """
     keys = list(keys)
     # Segment k holds the instants after cut k and up to cut k+1 (cuts counted from one).
@@ -66,55 +73,70 @@ def segment_moments(rows: DataFrame, segments: DataFrame, blocks, keys=KEYS) ->
         .where("used AND seg > 0")
         .drop("used")
     )
-    schema = f"{tagged.select(*keys).schema.simpleString()[7:-1]}, seg int, moments array<double>"
 
     def partial(batches):
-        for pdf in batches:
-            out = []
-            for key, part in pdf.groupby([*keys, "seg"], sort=False, dropna=False):
-                z = np.stack(part["z"].to_numpy()).astype(float)
-                out.append((*key, np.concatenate([_moments(z[:, b]).ravel() for b in blocks])))
-            yield pd.DataFrame(out, columns=[*keys, "seg", "moments"])
-
-    def total(pdf):
-        first = pdf.iloc[[0]].copy()
-        first["moments"] = [np.sum(np.stack(pdf["moments"].to_numpy()), axis=0)]
-        return first
-
-    schema = schema.replace(":", " ")
-    return (
-        tagged.mapInPandas(partial, schema)
-        .groupBy(*keys, "seg")
-        .applyInPandas(total, schema)
-    )
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            labels = pa.Table.from_batches([batch]).select([*keys, "seg"])
+            group = labels.to_pandas().groupby([*keys, "seg"], sort=False, dropna=False).ngroup()
+            group = group.to_numpy()
+            _, first = np.unique(group, return_index=True)
+            z = batch.column("z").flatten().to_numpy(zero_copy_only=False)
+            z = z.reshape(batch.num_rows, -1)[np.argsort(group, kind="stable")]
+            ends = np.cumsum(np.bincount(group))
+            sums = [
+                np.concatenate([_triangle(part[:, b]) for b in blocks])
+                for part in np.split(z, ends[:-1])
+            ]
+            width = len(sums[0])
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(sums) + 1) * width, pa.int32()),
+                pa.array(np.concatenate(sums)),
+            )
+            head = labels.take(pa.array(first)).combine_chunks()
+            columns = [head.column(c).combine_chunks() for c in (*keys, "seg")]
+            yield pa.RecordBatch.from_arrays([*columns, lists], [*keys, "seg", "moments"])
+
+    return tagged.mapInArrow(partial, f"{key_ddl(tagged, keys)}, seg int, moments array<double>")
+
+
+def key_ddl(df: DataFrame, keys) -> str:
+    return df.select(*keys).schema.simpleString()[7:-1].replace(":", " ")
 
 
 def solve_folds(moments: DataFrame, segments: DataFrame, blocks, solve, keys=KEYS) -> DataFrame:
-    """Add up each fold's segments and solve; `solve` maps matrices to a coefficient vector."""
+    """Add up each fold's segments and solve; `solve` maps matrices to a coefficient vector.
+
+    A group holds one series' partial matrices: segments are two per fold at most, so its size
+    follows the number of folds and not the length of the series.
+    """
     keys = list(keys)
-    key_type = segments.select(*keys).schema.simpleString()[7:-1].replace(":", " ")
     sizes = [len(b) for b in blocks]
+    widths = [n * (n + 1) // 2 for n in sizes]
 
     def fit(mom, seg):
         if mom.empty or seg.empty:
             return pd.DataFrame(columns=[*keys, "fold", "coef"])
-        by_seg = dict(zip(mom["seg"], mom["moments"]))
-        width = sum(s * s for s in sizes)
+        ranges = seg.iloc[0]["ranges"]
+        top = max(r["hi"] for r in ranges) + 1
+        table = np.zeros((top, sum(widths)))
+        where = mom["seg"].to_numpy()
+        inside = where < top
+        np.add.at(table, where[inside], np.stack(mom["moments"].to_numpy())[inside])
         out = []
-        for r in seg.iloc[0]["ranges"]:
-            parts = [by_seg[s] for s in range(r["lo"], r["hi"]) if s in by_seg]
-            flat = np.sum(parts, axis=0) if parts else np.zeros(width)
-            mats, at = [], 0
-            for s in sizes:
-                mats.append(np.asarray(flat[at : at + s * s]).reshape(s, s))
-                at += s * s
+        for r in ranges:
+            flat, at, mats = table[r["lo"] : r["hi"]].sum(axis=0), 0, []
+            for n, w in zip(sizes, widths):
+                mats.append(_square(flat[at : at + w], n))
+                at += w
             out.append((*[seg.iloc[0][k] for k in keys], int(r["fold"]), solve(*mats)))
         return pd.DataFrame(out, columns=[*keys, "fold", "coef"])
 
     return (
         moments.groupBy(*keys)
         .cogroup(segments.groupBy(*keys))
-        .applyInPandas(fit, f"{key_type}, fold int, coef array<double>")
+        .applyInPandas(fit, f"{key_ddl(segments, keys)}, fold int, coef array<double>")
     )
 
 
@@ -340,25 +362,21 @@ def harmonic_moment_report(
     names = tl.fourier_names()
     segments = fold_segments(folds, cfg.sarima_years, keys)
     sums = segment_moments(harmonic_rows(features, keys, cfg), segments, _HARMONIC_BLOCKS, keys)
-    y, width = _X, _X + 1
-    lag_width = _X + 3
-
-    def level(row, col):
-        return F.col("moments")[row * width + col]
-
-    def lagged(row, col):
-        return F.col("moments")[width * width + row * lag_width + col]
-
-    return sums.select(
-        *keys,
-        "seg",
-        level(0, 0).cast("bigint").alias("n"),
-        F.round(level(0, y), 3).alias("sum_y"),
-        F.round(level(1 + names.index("sin_24_1"), y), 3).alias("y_sin24"),
-        F.round(level(1 + names.index("cos_168_3"), y), 3).alias("y_cos168"),
-        lagged(0, 0).cast("bigint").alias("n_lagged"),
-        F.round(lagged(_X, _X + 1) / 1_000_000, 3).alias("y_y1"),
-        F.round(lagged(_X, _X + 2) / 1_000_000, 3).alias("y_y2"),
+    y, level_n, lag_n = _X, _X + 1, _X + 3
+
+    def at(size, row, col, offset=0):
+        """Sum over the partial matrices of one entry of an upper triangle, row by row."""
+        return F.sum(F.col("moments")[offset + row * size - row * (row - 1) // 2 + (col - row)])
+
+    after = level_n * (level_n + 1) // 2
+    return sums.groupBy(*keys, "seg").agg(
+        at(level_n, 0, 0).cast("bigint").alias("n"),
+        F.round(at(level_n, 0, y), 3).alias("sum_y"),
+        F.round(at(level_n, 1 + names.index("sin_24_1"), y), 3).alias("y_sin24"),
+        F.round(at(level_n, 1 + names.index("cos_168_3"), y), 3).alias("y_cos168"),
+        at(lag_n, 0, 0, after).cast("bigint").alias("n_lagged"),
+        F.round(at(lag_n, _X, _X + 1, after) / 1_000_000, 3).alias("y_y1"),
+        F.round(at(lag_n, _X, _X + 2, after) / 1_000_000, 3).alias("y_y2"),
     )
 
 

@@ -170,7 +170,7 @@ def _(s):
     return s.spark.read.schema(summary.schema).option("header", True).csv(path)
 
 
-QUICK_TREES = {"maxIter": 4, "maxDepth": 4}  # a short fit; PARAMS holds the full one
+QUICK_TREES = {"maxIter": 2, "maxDepth": 3}  # a short fit; PARAMS holds the full one
 
 
 @query("a10_artifact_round_trip")
@@ -413,7 +413,15 @@ def _(s):
 
 
 simple("e10_diagnostic", _diagnostic)
-simple("e11_error_tables", lambda s: RP.error_tables(_diagnostic(s)))
+simple(
+    "e11_error_tables",
+    lambda s: RP.error_tables(_diagnostic(s)).select(
+        *KEYS,
+        "table",
+        F.coalesce(F.col("hour").cast("string"), "day_type", F.col("month").cast("string")).alias("level"),
+        *["mape", "rmse", "mae", "n"],
+    ),
+)
 simple("e12_findings", lambda s: RP.findings(RP.error_tables(_diagnostic(s))))
 simple("e13_significance", lambda s: RP.significance_table(s.results).drop("beats_baseline_p", "vs_shipped_p"))
 simple("e14_best_worst_folds", lambda s: RP.best_worst_folds(s.results))

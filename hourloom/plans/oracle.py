@@ -398,7 +398,7 @@ CTES["seq_fold_days"] = """
     SELECT d.series, d.fold, s.op_date, s.first FROM folds d
     JOIN (SELECT * FROM seq_days JOIN seq_history USING (series, op_date) WHERE n = 168) s
       ON s.series = d.series AND s.first + INTERVAL 23 HOUR <= d.cutoff
-     AND s.first - INTERVAL 168 HOUR >= d.cutoff - to_hours(6575)"""
+     AND s.first - INTERVAL 168 HOUR >= d.cutoff - to_minutes(394470)"""
 oracle("c22_standardisation", """
     SELECT series, fold, pos, n, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std FROM (
       SELECT d.series, fold, CAST(0 AS INTEGER) AS pos, count(*) AS n, avg(y) AS mean, stddev_pop(y) + 1e-8 AS std
@@ -524,7 +524,9 @@ CTES["error_groups"] = f"""
     SELECT series, 'by_hour' AS "table", hour, NULL::VARCHAR AS day_type, NULL::INTEGER AS month, {_ERRORS}, count(*) AS n FROM ({_DENSE}) GROUP BY series, hour
     UNION ALL SELECT series, 'by_day_type', NULL, day_type, NULL, {_ERRORS}, count(*) FROM ({_DENSE}) GROUP BY series, day_type
     UNION ALL SELECT series, 'by_month', NULL, NULL, month, {_ERRORS}, count(*) FROM ({_DENSE}) GROUP BY series, month"""
-oracle("e11_error_tables", f'SELECT series, "table", hour, day_type, month, {_r("mape", "rmse", "mae")}, n FROM error_groups')
+oracle("e11_error_tables", f"""
+    SELECT series, "table", coalesce(CAST(hour AS VARCHAR), day_type, CAST(month AS VARCHAR)) AS level,
+           {_r('mape', 'rmse', 'mae')}, n FROM error_groups""")
 oracle("e12_findings", f"""
     SELECT series, worst_hour, best_hour, {_r('worst_hour_mape', 'best_hour_mape')}, worst_month, best_month,
            {_r('worst_month_mape', 'best_month_mape', 'weekday_mape', 'weekend_mape')},
