@@ -19,7 +19,7 @@ def corrupt_after(clean: DataFrame, cutoffs: DataFrame, column: str, keys=KEYS)
     noise = F.pmod(hour * 7919, F.lit(45_000)) + F.lit(15_000.5)
     late = F.col("ts") > F.col("__cutoff")
     return (
-        clean.join(cutoffs.select(*keys, F.col("cutoff").alias("__cutoff")), list(keys))
+        tl.join_series(clean, cutoffs.select(*keys, F.col("cutoff").alias("__cutoff")), keys)
         .withColumn(column, F.when(late, noise).otherwise(F.col(column)))
         .drop("__cutoff")
     )

@@ -39,7 +39,7 @@ def build_regular_grid(hourly: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS) -
     keys = list(keys)
     seen = hourly.where(F.col("ts").isNotNull()).select(*keys, "ts", "load")
     spans = seen.groupBy(*keys).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    # A span is cut into days first, so that its hours are generated after a spread by day.
+    # Days first, then their hours: no generated array grows past the days of a span.
     last = F.floor(tl.hours_between(F.col("lo"), F.col("hi")) / 24).cast("int")
     days = spans.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), last)).alias("d"))
     slots = (

@@ -84,7 +84,7 @@ def hexagon_density(clean: DataFrame, gridsize: int = 55, keys=KEYS) -> DataFram
     )
     pad = F.lit(1e-9)
     x0, x1 = F.col("x0"), F.col("x1")
-    boxed = clean.join(box, keys).withColumns(
+    boxed = tl.join_series(clean, box, keys).withColumns(
         {
             "x": (F.col("temp_c") - (x0 - pad * (x1 - x0)))
             / ((x1 - x0) * (F.lit(1.0) + pad * 2) / gridsize),
@@ -129,7 +129,7 @@ def lag_products(series: DataFrame, lags: int, keys=KEYS, cfg: Settings = DEFAUL
         F.avg("load").alias("__mean"), F.count(F.lit(1)).alias("n_obs")
     )
     halo = with_halo(series.select(*keys, "ts", "load"), -(-lags // 24) + 1, cfg)
-    rows = halo.join(mean, keys).select(
+    rows = tl.join_series(halo, mean, keys, cfg).select(
         *keys, "__block", "ts", "__own", (F.col("load") - F.col("__mean")).alias("x"), "n_obs"
     )
     key_type = key_ddl(series, keys)
@@ -170,7 +170,7 @@ def pacf(
     autocovariances divided by n - k."""
     keys = list(keys)
     end = clean.groupBy(*keys).agg(F.max("ts").alias("__end"))
-    recent = clean.join(end, keys).where(F.col("ts") > F.col("__end") - tl.hours(last_hours))
+    recent = tl.join_series(clean, end, keys, cfg).where(F.col("ts") > F.col("__end") - tl.hours(last_hours))
     sums = lag_products(recent, lags, keys, cfg)
     cov = sums.withColumn("c", F.try_divide(F.col("s"), F.col("n_obs") - F.col("lag")))
     key_type = key_ddl(clean, keys)

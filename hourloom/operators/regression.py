@@ -67,8 +67,10 @@ def segment_moments(rows: DataFrame, segments: DataFrame, blocks, keys=KEYS) ->
     keys = list(keys)
     # Segment k holds the instants after cut k and up to cut k+1 (cuts counted from one).
     seg = F.size(F.filter("cuts", lambda c: c < F.col("ts")))
+    if "cuts" not in rows.columns:
+        rows = tl.join_series(rows, segments.select(*keys, "cuts"), keys)
     tagged = (
-        rows.join(segments.select(*keys, "cuts"), keys)
+        rows
         .select(*keys, seg.alias("seg"), (seg < F.size("cuts")).alias("used"), "z")
         .where("used AND seg > 0")
         .drop("used")
@@ -326,15 +328,13 @@ def additive_fit(
     keys = list(keys)
     segments = fold_segments(folds, cfg.prophet_years, keys)
     anchored = segments.select(*keys, F.element_at("cuts", -1).alias("anchor"))
-    rows = (
-        features.where((F.col("bad_day") == 0) & F.col("y").isNotNull())
-        .select(*keys, "ts", "y")
-        .join(anchored, keys)
-        .select(
-            *keys,
-            "ts",
-            F.concat(additive_regressors(F.col("ts"), F.col("anchor")), F.array("y")).alias("z"),
-        )
+    known = features.where((F.col("bad_day") == 0) & F.col("y").isNotNull()).select(*keys, "ts", "y")
+    # One join brings both the cuts and the anchor.
+    rows = tl.join_series(known, anchored.join(segments.select(*keys, "cuts"), keys), keys, cfg).select(
+        *keys,
+        "ts",
+        "cuts",
+        F.concat(additive_regressors(F.col("ts"), F.col("anchor")), F.array("y")).alias("z"),
     )
     moments = segment_moments(rows, segments, _ADDITIVE_BLOCKS, keys)
     solved = solve_folds(moments, segments, _ADDITIVE_BLOCKS, solve_additive, keys)

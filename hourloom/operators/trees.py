@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.config import DEFAULTS, FEATURES, KEYS, Settings
+from hourloom.functions import timeline as tl
 from hourloom.operators import folds as fo
 from hourloom.operators.features import inputs_present, usable
 from hourloom.session import materialize
@@ -50,7 +51,7 @@ def fit_leads(
     a distributed job over that lead's rows."""
     leads = list(leads or range(1, cfg.horizon + 1))
     split = holdout_split(usable(train).select(*keys, "ts", "lead", "y", *x), keys, cfg)
-    stored = materialize(split.repartition("lead"), "tree-train")
+    stored = materialize(split.hint("rebalance", "lead"), "tree-train", ["lead"])
     settings = {**PARAMS, "seed": cfg.seed, **(params or {})}
 
     def fit(lead: int) -> PipelineModel:
@@ -83,7 +84,7 @@ def tree_forecast(
     out = []
     for number in numbers:
         one = folds.where(F.col("fold") == number)
-        train = features.join(one.select(*keys, "cutoff"), list(keys)).where("ts <= cutoff")
+        train = tl.join_series(features, one.select(*keys, "cutoff"), keys, cfg).where("ts <= cutoff")
         models = fit_leads(train.drop("cutoff"), params, leads, keys, cfg, threads)
         hours = fo.target_rows(features, one, keys).drop("y")
         out.append(predict_leads(models, hours).select(*keys, "fold", "ts", "y_pred"))

@@ -473,11 +473,9 @@ CTES["coverage"] = """
     FROM (SELECT series, max(ts) AS trained_through FROM features GROUP BY 1) e
     LEFT JOIN (SELECT series, min(op_date) AS first_date, max(op_date) AS last_date FROM servable GROUP BY 1) USING (series)"""
 CTES["requests"] = """
-    SELECT DISTINCT series, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS date FROM orders,
-      (SELECT DISTINCT series FROM clean)
-    UNION SELECT series, strftime(op_date, '%Y-%m-%d') FROM features
-    UNION SELECT DISTINCT series, 'not-a-date' FROM clean
-    UNION SELECT DISTINCT series, '2018-13-45' FROM clean"""
+    SELECT 'S' || lpad(CAST(o_orderkey // 5000 AS VARCHAR), 8, '0') AS series,
+           CASE WHEN o_orderkey % 50 = 0 THEN o_orderpriority ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS date
+    FROM orders UNION SELECT series, strftime(op_date, '%Y-%m-%d') FROM features"""
 oracle("d22_forecast_dates", f"""
     SELECT q.series, q.date, CASE WHEN s.op_date IS NULL THEN 422 ELSE 200 END AS status,
            CASE WHEN TRY_CAST(q.date AS DATE) IS NULL THEN q.date || ' is not a date'
@@ -487,7 +485,7 @@ oracle("d22_forecast_dates", f"""
            'naive' AS model, trained_through,
            CASE WHEN s.op_date IS NOT NULL THEN strftime(f.ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS ts,
            CASE WHEN s.op_date IS NOT NULL THEN round_even(f.lag_24, 1) END AS mw
-    FROM requests q JOIN coverage c ON c.series = q.series
+    FROM requests q LEFT JOIN coverage c ON c.series = q.series
     LEFT JOIN servable s ON s.series = q.series AND s.op_date = TRY_CAST(q.date AS DATE)
     LEFT JOIN features f ON f.series = s.series AND f.op_date = s.op_date""")
 oracle("d23_coverage", "SELECT series, 'ok' AS status, 'naive' AS model, trained_through, first_date, last_date FROM coverage")

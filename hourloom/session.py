@@ -38,12 +38,13 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     """Write a stage as parquet in the shared folder and read it back.
 
     Cuts lineage, survives lost executors, and gives later stages column pruning,
     filter pushdown and real sizes for the broadcast decision.
     """
     path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

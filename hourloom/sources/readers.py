@@ -119,12 +119,10 @@ def write_table(df: DataFrame, path: str, partition_by=()) -> None:
 def write_results(results: DataFrame, path: str) -> None:
     """One folder per (protocol, model); a model that was never run has no folder.
 
-    Rows are gathered by folder and hour lead, so a folder gets a few files of like size
-    however many series it covers.
+    Rebalancing gathers a folder's rows and splits large folders into files of like size.
     """
-    results.repartition("protocol", "model", "lead").write.mode("append").partitionBy(
-        "protocol", "model"
-    ).parquet(path)
+    balanced = results.hint("rebalance", "protocol", "model")
+    balanced.write.mode("append").partitionBy("protocol", "model").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str, models=None, protocol: str = "weekly") -> DataFrame:
