@@ -13,16 +13,16 @@ _BLOCK = "__block"
 def nearest_known(df: DataFrame, keys, cols, block, ts: str = "ts") -> DataFrame:
     """Add, per value column, the previous and next known (ts, value) of each row.
 
-    Each column `c` gains the structs `__prev_c`, `__next_c`; every row gains `__lo`, `__hi`,
+    Each column `c` gains the structs `__prev_c`, `__next_c`, right where `c` is null; every row gains `__lo`, `__hi`,
     the first and last instant of its series. Rows are scanned within (keys, block); what lies outside
     a block is carried by one summary row per block, so no task scans a whole series.
     """
     keys = list(keys)
+    # Both uses of `base` below must plan alike for its shuffle to be made once and reused. A block
+    # that cannot be null keeps the join from filtering one of them; hours have no null block.
+    block = F.coalesce(block, F.lit("1970-01-01").cast("date"))
     base = df.withColumn(_BLOCK, block).repartition(*keys, _BLOCK)
 
-    def known(c):
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("ts"), F.col(c).alias("v")))
-
     # min_by/max_by keep primitive buffers, so this stays a hash aggregate (a struct would sort).
     edges = base.groupBy(*keys, _BLOCK).agg(
         F.min(ts).alias("__lo"), F.max(ts).alias("__hi"), *[e for c in cols for e in _edge(c, ts)]
@@ -55,13 +55,24 @@ def nearest_known(df: DataFrame, keys, cols, block, ts: str = "ts") -> DataFrame
     )
     joined = base.join(carried, [*keys, _BLOCK])
 
-    up = Window.partitionBy(*keys, _BLOCK).orderBy(ts)
-    down = Window.partitionBy(*keys, _BLOCK).orderBy(F.desc(ts))
+    # lag and lead over non-nulls share one sort, and cost one step per row; they answer for
+    # null rows, the only ones that need neighbours.
+    here = Window.partitionBy(*keys, _BLOCK).orderBy(ts)
+    marked = joined.withColumns({f"__at_{c}": F.when(F.col(c).isNotNull(), F.col(ts)) for c in cols})
+    seen = {}
+    for c in cols:
+        for side, fn in (("prev", "lag"), ("next", "lead")):
+            seen[f"__{side}_at_{c}"] = F.expr(f"{fn}(__at_{c}, 1) IGNORE NULLS").over(here)
+            seen[f"__{side}_v_{c}"] = F.expr(f"{fn}({c}, 1) IGNORE NULLS").over(here)
+    looked = marked.withColumns(seen)
     found = {}
     for c in cols:
-        found[f"__prev_{c}"] = F.coalesce(F.last(known(c), True).over(up), F.col(f"__in_{c}"))
-        found[f"__next_{c}"] = F.coalesce(F.last(known(c), True).over(down), F.col(f"__out_{c}"))
-    return joined.withColumns(found).drop(*[f"__in_{c}" for c in cols], *[f"__out_{c}" for c in cols])
+        for side, carry in (("prev", "in"), ("next", "out")):
+            at, v = F.col(f"__{side}_at_{c}"), F.col(f"__{side}_v_{c}")
+            inside = F.when(at.isNotNull(), F.struct(at.alias("ts"), v.alias("v")))
+            found[f"__{side}_{c}"] = F.coalesce(inside, F.col(f"__{carry}_{c}"))
+    spent = [n for n in (*seen, *(f"__{p}_{c}" for p in ("at", "in", "out") for c in cols))]
+    return looked.withColumns(found).drop(*spent)
 
 
 def _edge(c: str, ts: str):
