@@ -84,11 +84,17 @@ def hexagon_density(clean: DataFrame, gridsize: int = 55, keys=KEYS) -> DataFram
     )
     pad = F.lit(1e-9)
     x0, x1 = F.col("x0"), F.col("x1")
+
+    def scaled(offset, step):
+        return F.coalesce(F.try_divide(offset, step), F.lit(0.0))  # a constant column has no step
+
     boxed = tl.join_series(clean, box, keys).withColumns(
         {
-            "x": (F.col("temp_c") - (x0 - pad * (x1 - x0)))
-            / ((x1 - x0) * (F.lit(1.0) + pad * 2) / gridsize),
-            "y": (F.col("load") - F.col("y0")) / ((F.col("y1") - F.col("y0")) / ny),
+            "x": scaled(
+                F.col("temp_c") - (x0 - pad * (x1 - x0)),
+                (x1 - x0) * (F.lit(1.0) + pad * 2) / gridsize,
+            ),
+            "y": scaled(F.col("load") - F.col("y0"), (F.col("y1") - F.col("y0")) / ny),
         }
     )
     x, y = F.col("x"), F.col("y")

@@ -151,7 +151,10 @@ def dot(x, beta):
 def ridge(gram: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     """Coefficients of the last column on the others, least squares with a diagonal penalty."""
     a = gram[:-1, :-1] + np.diag(penalty)
-    return np.linalg.lstsq(a, gram[:-1, -1], rcond=None)[0]
+    try:
+        return np.linalg.solve(a, gram[:-1, -1])
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(a, gram[:-1, -1], rcond=None)[0]
 
 
 # ------------------------------------------------- harmonics with autoregressive errors

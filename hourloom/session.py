@@ -26,6 +26,9 @@ def build_session(app: str = "hourloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def stage_root(spark: SparkSession) -> str:
     """Shared folder for written stages: the one the cluster names, else (local only) a temp one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,9 +36,10 @@ def stage_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="hourloom-stages-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="hourloom-stages-")
+    return _LOCAL_ROOTS[app]
 
 
 def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
@@ -47,4 +51,5 @@ def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # A partition column is read back last; keep the given order.
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
