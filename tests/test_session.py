@@ -24,8 +24,9 @@ def test_only_a_local_session_falls_back_to_a_temporary_folder():
         session.stage_root(fake("yarn"))
 
 
-def test_a_stage_survives_and_keeps_its_schema(spark):
+def test_a_stage_survives_and_keeps_its_columns(spark):
     df = spark.range(10).selectExpr("id", "id % 3 AS k", "TIMESTAMP_NTZ '2016-01-01 00:00:00' AS ts")
     stored = session.materialize(df, "t-stage", ["k"])
-    assert stored.schema == df.schema and stored.count() == 10
+    # Names, order and types hold; a file source makes every column nullable.
+    assert stored.dtypes == df.dtypes and stored.count() == 10
     assert "PartitionFilters: [isnotnull(k" in stored.where("k = 1")._jdf.queryExecution().toString()
