@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import common as C
-from hourloom.llm import exact_dedup, mixing, quality, sharding
+from hourloom.llm import bpe, exact_dedup, mixing, quality, sharding, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).drop("n_chars")
 
 
+def tokenizer(name: str) -> str:
+    """A public tokenizer file's JSON, read by the driver."""
+    import public_tokenizers
+
+    return bpe.load(public_tokenizers.path(name))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(_documents(spark, sf_dir), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -35,6 +46,10 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op5_kd_shards, op7_quality, op9_mix)
+    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op5_kd_shards, op7_quality, op9_mix, op10_bpe)
 }
