@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import common as C
-from hourloom.llm import bpe, exact_dedup, mixing, quality, sharding, token_files
+from hourloom.llm import bpe, exact_dedup, fingerprints, mixing, quality, sharding, token_files, wrappers
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(_documents(spark, sf_dir))
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(_documents(spark, sf_dir), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -42,6 +46,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_pages(C.table(spark, sf_dir, "pages"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
@@ -51,5 +59,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op5_kd_shards, op7_quality, op9_mix, op10_bpe)
+    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_fingerprints, op5_kd_shards, op7_quality, op8_html, op9_mix, op10_bpe)
 }
