@@ -38,4 +38,4 @@ def word_count(text: Column) -> Column:
 
 def row_key(id_col: str, text_col: str) -> Column:
     """Recognises a row again in a second scan: equal for rows with equal id and text, and only (but for 64-bit clashes) for those."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col))

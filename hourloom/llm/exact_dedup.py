@@ -45,8 +45,8 @@ def name_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, block_bytes: int = BLOCK_BYTES,
     hash_block: Callable[[Column], Column] = F.xxhash64,
 ) -> DataFrame:
-    """One row per row of docs: _row, doc_id, n_chars, text_sha256, n_blocks, name. Equal (n_blocks, name) = equal texts."""
-    source = C.id_rows(docs, id_col, text_col)
+    """One row per row of docs: _row, doc_id, row_key, n_chars, text_sha256, n_blocks, name. Equal (n_blocks, name) = equal texts."""
+    source = C.id_rows(docs, id_col, text_col).withColumn("row_key", C.row_key("doc_id", "text"))
 
     def clash(h: Column, block: Column, clashing: list[int]) -> Column:
         """The block's bytes where its hash isn't enough, else nothing."""
@@ -67,10 +67,10 @@ def name_documents(
         h = hash_block(block)
         return F.struct(h.alias("h"), clash(h, block, clashing).alias("bytes")) if clashing else h
 
-    body = source.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), normalised(F.col("text")).alias("body"))
+    body = source.select("doc_id", "row_key", F.char_length("text").cast("long").alias("n_chars"), normalised(F.col("text")).alias("body"))
     rows = C.stage(
         body.select(
-            F.monotonically_increasing_id().alias("_row"), "doc_id", "n_chars", F.sha2("body", 256).alias("text_sha256"),
+            F.monotonically_increasing_id().alias("_row"), "doc_id", "row_key", "n_chars", F.sha2("body", 256).alias("text_sha256"),
             _blocks(F.col("body"), block_bytes, entry).alias("entries"),
         ), "block-rows",
     )
@@ -100,7 +100,7 @@ def name_documents(
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, n_chars: one row per row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256, n_chars, row_key (common.row_key): one row per row of docs.
 
     Null texts count as empty, and all empty (or white) texts are equal. The longest original text stays, then the
     smallest doc_id (nulls last); of repeated rows exactly one. No rows in, no rows out. Other columns are not read.
@@ -110,5 +110,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = C.stage(named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), F.min(order).alias("keep")), "groups")
     return named.join(groups, ["n_blocks", "name"]).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("keep._row")).alias("kept"),
-        "text_sha256", "n_chars",
+        "text_sha256", "n_chars", "row_key",
     )

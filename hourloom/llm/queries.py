@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import common as C
-from hourloom.llm import bpe, exact_dedup, fingerprints, mixing, quality, sharding, token_files, wrappers
+from hourloom.llm import bpe, exact_dedup, fingerprints, mixing, ngram_join, quality, sharding, token_files, wrappers
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_documents(spark, sf_dir)).drop("n_chars")
+    return exact_dedup.exact_dedup(_documents(spark, sf_dir)).drop("n_chars", "row_key")
 
 
 def tokenizer(name: str) -> str:
@@ -30,6 +30,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_documents(spark, sf_dir)).drop("k")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_documents(spark, sf_dir))
 
@@ -59,5 +63,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_fingerprints, op5_kd_shards, op7_quality, op8_html, op9_mix, op10_bpe)
+    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_ngram_join, op4_fingerprints, op5_kd_shards, op7_quality, op8_html, op9_mix, op10_bpe)
 }
