@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import common as C
-from hourloom.llm import bpe, exact_dedup, fingerprints, mixing, ngram_join, quality, sharding, token_files, wrappers
+from hourloom.llm import bpe, exact_dedup, fingerprints, hmm, mixing, ngram_join, quality, sharding, token_files, wrappers
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(_documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = quality.train(docs, C.table(spark, sf_dir, "labels"))
@@ -63,5 +67,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_ngram_join, op4_fingerprints, op5_kd_shards, op7_quality, op8_html, op9_mix, op10_bpe)
+    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_ngram_join, op4_fingerprints, op5_kd_shards, op6_hmm, op7_quality, op8_html, op9_mix, op10_bpe)
 }
