@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import common as C
-from hourloom.llm.words import split_words
+from hourloom.llm.words import encoder, sliced, split_words
 
 #: Most words in the table that every task holds.
-FREQUENT = 2**17
+FREQUENT = 2**16
 #: Rarer words that a task remembers from batch to batch.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def load(path: str) -> str:
@@ -44,7 +44,7 @@ def pieces(spark: SparkSession, tokenizer_json: str) -> DataFrame:
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, n over all documents; words that repeat in a batch are summed up before the shuffle."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 4000):
             _, codes, words = split_words(b.column(0), lower=False)
             yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))], names=["word", "n"])
 
@@ -63,20 +63,10 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
     return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
 
 
-def _encoder(tokenizer_json: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_str(tokenizer_json)
-    return lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
-
-
 def encode_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
     """word -> word, ids."""
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_json)
+        encode = encoder(tokenizer_json)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode(b.column(0).to_pylist()), pa.list_(pa.int32()))], names=["word", "ids"])
 
@@ -108,8 +98,8 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc
         words, ids, decoded, piece = shared.value
         known = dict(zip(words, zip(ids, decoded)))
         rare: dict[str, tuple[str, str]] = {}
-        encode = _encoder(tokenizer_json)
-        for b in batches:
+        encode = encoder(tokenizer_json)
+        for b in sliced(batches):
             if len(rare) > REMEMBERED:
                 rare.clear()
             ends, codes, distinct = split_words(b.column(1), lower=False)

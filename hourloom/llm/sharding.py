@@ -28,7 +28,7 @@ def _cuts(rows: DataFrame, nodes: dict[int, dict], bins: int, tolerance: float)
             [(k, n["axis"], n["lo"], max(1, -(-(n["hi"] - n["lo"] + 1) // bins))) for k, n in open_nodes.items()], "node long, axis int, lo long, step long")
         # As many rows as there are nodes, so at most as there are shards.
         x = F.element_at("coords", F.col("axis") + 1)
-        counted = rows.join(F.broadcast(plan), "node").where(x >= F.col("lo")).select("node", "step", F.floor((x - F.col("lo")) / F.col("step")).alias("_f"), x.alias("x"), "lo", "weight")
+        counted = rows.join(F.broadcast(plan), "node").where(x >= F.col("lo")).select("node", "step", x.alias("x"), "lo", "weight")
         counted = counted.withColumn("bin", F.expr("(x - lo) div step")).where(F.col("bin") < bins)
         sums: dict[int, list] = {}
         for r in counted.groupBy("node", "step", "bin").agg(F.sum("weight").alias("w"), F.max("x").alias("top")).collect():  # nodes x bins at most
@@ -56,8 +56,9 @@ def kd_tree(rows: DataFrame, shards: int, *, bins: int = BINS, tolerance: float
     `tolerance`, or as near as equal coordinates allow, which are never separated).
     """
     nodes, shard_of, n_axes = {0: shards}, {}, None
-    rows = rows.withColumn("node", F.lit(0).cast("long"))
-    ranges = None
+    # Not a constant, for a join on a constant would be planned as a nested loop.
+    rows = rows.withColumn("node", F.element_at("coords", 1) * 0)
+    ranges, level = None, 0
     while any(k > 1 for k in nodes.values()):
         n_axes = n_axes or rows.select(F.max(F.size("coords"))).first()[0]
         if n_axes is None:  # no rows
@@ -75,6 +76,9 @@ def kd_tree(rows: DataFrame, shards: int, *, bins: int = BINS, tolerance: float
             [(k, p["axis"], p["cut"]) for k, p in plan.items()], "node long, axis int, cut long")
         upper = F.coalesce((F.element_at("coords", F.col("axis") + 1) > F.col("cut")).cast("long"), F.lit(0).cast("long"))
         rows = rows.join(F.broadcast(cuts), "node", "left").withColumn("node", F.col("node") * 2 + upper).drop("axis", "cut")
+        level += 1
+        if level % 3 == 0:
+            rows = C.stage(rows, "kd-nodes")
         nodes = {c: k for n, m in nodes.items() for c, k in ((2 * n, m // 2 if m > 1 else m), (2 * n + 1, m - m // 2 if m > 1 else 0)) if k}
     shard_of = {n: i for i, n in enumerate(sorted(nodes))}
     number = F.create_map(*[F.lit(x) for n, i in shard_of.items() for x in (n, i)])

@@ -23,26 +23,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourloom.llm import common as C
+from hourloom.llm.words import encoder, sliced
 from hourloom.session import stage_root
 
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
 #: Pieces that a task remembers from batch to batch.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 END_ID = 0
 
 
 def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], list[bytes]]:
     """A function from texts to each text's ids as little-endian 32-bit numbers. Made inside a task."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_str(tokenizer_json)
+    ids_of = encoder(tokenizer_json)
     known: dict[str, bytes] = {}
 
     def bytes_of(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+        return ids_of(texts, lambda ids: np.array(ids, "<u4").tobytes())
 
     def encode(texts: pa.Array) -> list[bytes]:
         if len(known) > REMEMBERED:
@@ -86,7 +82,7 @@ def write_tokens(
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seq = piece_encoder(tokenizer_json), 0
-        for b in batches:
+        for b in sliced(batches):
             ids = [x + end for x in encode(b.column(1))]
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
