@@ -11,6 +11,7 @@ tokenizer whole.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,23 +30,50 @@ from hourloom.session import stage_root
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
 #: Pieces that a task remembers from batch to batch.
 REMEMBERED = 150_000
+#: New pieces that go to the tokenizer in one row.
+IN_A_ROW = 4000
+# A space as byte-level vocabularies write it; texts that are not to be cut at spaces.
+SPACE_BYTE = "\u0120"
+UNSAFE = r"^ | $|  |^$|[\t-\r\x{85}\p{Z}] [\t-\r\x{85}\p{Z}]"
 END_ID = 0
 
 
 def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], list[bytes]]:
-    """A function from texts to each text's ids as little-endian 32-bit numbers. Made inside a task."""
+    """A function from texts to each text's ids as little-endian 32-bit numbers, for byte-level tokenizers. Made inside a task.
+
+    Texts are cut at single spaces, where a tokenizer of this kind always cuts, and each distinct piece is encoded once. New pieces go in long rows
+    to the tokenizer; an id whose piece opens with a space begins the next one. Texts with white space on both sides of a space are encoded whole.
+    """
     ids_of = encoder(tokenizer_json)
+    vocabulary = json.loads(tokenizer_json)["model"]["vocab"]
+    opens = np.zeros(max(vocabulary.values()) + 1, bool)
+    opens[[i for token, i in vocabulary.items() if token.startswith(SPACE_BYTE)]] = True
     known: dict[str, bytes] = {}
 
     def bytes_of(texts: list[str]) -> list[bytes]:
         return ids_of(texts, lambda ids: np.array(ids, "<u4").tobytes())
 
+    def learn(names: list[str]) -> None:
+        alone = [w for w in names if w[0] != " " or w[1].isspace() or w[-1].isspace()]
+        for w, b in zip(alone, bytes_of(alone)):
+            known[w] = b
+        rest = [w for w in names if w not in known]
+        for i in range(0, len(rest), IN_A_ROW):
+            few = rest[i : i + IN_A_ROW]
+            ids = np.array(ids_of(["".join(few)])[0], np.int64)
+            at = np.nonzero(opens[np.minimum(ids, len(opens) - 1)])[0].tolist()
+            if len(at) == len(few):
+                row = ids.astype("<u4").tobytes()
+                known.update((w, row[4 * x : 4 * y]) for w, x, y in zip(few, at, [*at[1:], len(ids)]))
+            else:
+                known.update(zip(few, bytes_of(few)))
+
     def encode(texts: pa.Array) -> list[bytes]:
         if len(known) > REMEMBERED:
             known.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        plain = pc.invert(pc.match_substring_regex(texts, "^ | $|  |^$")).to_numpy(zero_copy_only=False)
-        whole = iter(bytes_of([t for t in texts.filter(pa.array(~plain)).to_pylist()]))
+        plain = pc.invert(pc.match_substring_regex(texts, UNSAFE)).to_numpy(zero_copy_only=False)
+        whole = iter(bytes_of(texts.filter(pa.array(~plain)).to_pylist()))
         pieces = pc.split_pattern(texts.filter(pa.array(plain)), " ")
         ends = pieces.offsets.to_numpy()
         ends = ends - ends[0]
@@ -54,10 +82,8 @@ def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], list[bytes]]:
         number = coded.indices.to_numpy().astype(np.int64) * 2
         number[ends[:-1]] += 1
         used, place = np.unique(number, return_inverse=True)
-        names = [w if odd else " " + w for w, odd in zip(coded.dictionary.take(pa.array(used // 2)).to_pylist(), used % 2)]
-        new = [w for w in names if w not in known]
-        for w, b in zip(new, bytes_of(new)):
-            known[w] = b
+        names = [w if odd else " " + w for w, odd in zip(coded.dictionary.take(pa.array(used // 2)).to_pylist(), (used % 2).tolist())]
+        learn([w for w in names if w not in known])
         table = np.empty(len(names), object)
         table[:] = [known[w] for w in names]
         rows = iter([b"".join(table[place[a:b]].tolist()) for a, b in zip(ends[:-1], ends[1:])])
