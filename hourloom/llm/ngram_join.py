@@ -8,14 +8,17 @@ frequent ones, so frequent tokens are indexed in pairs. (Of documents with more
 too many, frequent tokens are indexed singly.) Whole sets are then compared, so the index decides only on what is compared.
 
 Documents with equal sets are one node. The documents of an index entry form a unit, named after the first of them; equal units of
-many entries fall together. A unit's documents are compared in blocks of at most BLOCK and only a spanning forest of
-its links is kept; across blocks, documents are compared only where they aren't in one component already. So a group of
-near copies costs neither a row a pair nor a task a group.
+many entries fall together. A document can be in many units, so there it is stood for by a field of bits, a few for each token: a bit of one
+document's field that is missing in another's is a token that the other lacks, which bounds what they share. Documents that could be
+similar by that bound are joined up to families, of which each document has one, and families' whole sets are compared.
+
+Both times documents are compared in blocks of at most BLOCK and only a spanning forest of the links is kept; across blocks, documents
+are compared only where they aren't in one component already. So a group of near copies costs neither a row a pair nor a task a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -159,15 +162,13 @@ def memberships(entries: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     if large:
         flat = C.stage(entries.where(F.col("part").isin(large)).select("part", "keys", "owners", "base").mapInArrow(opened, "key long, row long"), "large-parts")
         units = C.stage(flat.groupBy("key").agg(F.min("row").alias("unit"), F.count("*").alias("c")).where("c > 1").drop("c"), "large-units")
-        found = found.unionByName(flat.join(units, "key").select("row", "unit", F.lit(1).cast("long").alias("rare") - F.col("key").bitwiseAND(1)))
+        found = found.unionByName(flat.join(units, "key").select("row", "unit", (1 - F.col("key").bitwiseAND(1)).cast("long").alias("rare")))
     return found.groupBy("row", "unit").agg(F.sum("rare").alias("rare"))
 
 
-def _links(sets: list[np.ndarray], t: tuple[int, int], split: int | None = None, same: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Linked pairs, as a spanning forest. With split, only pairs of one set before and one from it; same: components already known."""
-    m = len(sets)
-    n = np.fromiter(map(len, sets), np.int64, m)
-    up = np.arange(m)
+def _forest(linked: list[tuple[int, int]], m: int) -> list[tuple[int, int]]:
+    """The pairs that join what the ones before left apart."""
+    up = list(range(m))
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -176,6 +177,50 @@ def _links(sets: list[np.ndarray], t: tuple[int, int], split: int | None = None,
         return i
 
     out = []
+    for i, j in linked:
+        a, b = root(i), root(j)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def bit_field(s: np.ndarray) -> bytes:
+    """A bit for each token, by its hash, in a field of two to four bits a token; a power of two, so that wider fields fold."""
+    width = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    bits = np.zeros(width, bool)
+    bits[s & np.uint64(width - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _hopeful(n: np.ndarray, fields: list[bytes], t: tuple[int, int], split: int | None = None, same: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that could be linked by their fields, as a spanning forest; with split, only pairs of one document before and one from it."""
+    wide = np.fromiter(map(len, fields), np.int64, len(fields))
+    linked = []
+    for w in np.unique(wide).tolist():
+        mine, folded = np.nonzero(wide == w)[0], np.nonzero(wide == 2 * w)[0]  # wider ones than that have too many tokens
+        both = np.concatenate([mine, folded])
+        f = np.stack([np.frombuffer(fields[i], np.uint8) for i in mine] + [np.bitwise_or.reduce(np.frombuffer(fields[i], np.uint8).reshape(2, w)) for i in folded])
+        shared = np.zeros((len(mine), len(both)), np.float32)
+        for x in range(0, w, 512):
+            bits = np.unpackbits(f[:, x : x + 512], axis=1).astype(np.float32)
+            shared += bits[: len(mine)] @ bits.T
+        ones = np.bitwise_count(f).sum(1, dtype=np.int64)
+        shared, na, nb = shared.astype(np.int64), n[mine][:, None], n[both][None]
+        most = np.minimum(na - ones[: len(mine), None], nb - ones[None]) + shared
+        i, j = np.nonzero(t[1] * most >= t[0] * (na + nb - most))
+        i, j = mine[i], both[j]
+        low, high = np.minimum(i, j), np.maximum(i, j)
+        keep = (low < high) if split is None else (low < split) & (high >= split)
+        if same is not None:
+            keep &= same[low] != same[high]
+        linked += zip(low[keep].tolist(), high[keep].tolist())
+    return _forest(linked, len(fields))
+
+
+def _links(n: np.ndarray, tokens: list[bytes], t: tuple[int, int], split: int | None = None, same: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Linked pairs, as a spanning forest. With split, only pairs of one set before and one from it; same: components already known."""
+    sets, m = [np.frombuffer(x, np.uint64) for x in tokens], len(tokens)
     lefts = range(m) if split is None else range(split)
     if m <= 6:
         pairs = [(i, j) for i in lefts for j in range(i + 1 if split is None else split, m)]
@@ -203,12 +248,7 @@ def _links(sets: list[np.ndarray], t: tuple[int, int], split: int | None = None,
         i, j = np.nonzero(good)
         j = j if split is None else j + split
         linked = [(a, b) for a, b in zip(i.tolist(), j.tolist()) if a < b or split is not None]
-    for i, j in linked:
-        a, b = root(i), root(j)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+    return _forest(linked, m)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -230,6 +270,50 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a.min(1)) if len(a) else a[:, 0]), pa.array(np.ascontiguousarray(a.max(1)) if len(a) else a[:, 0])], names=["a", "b"])
 
 
+def _within(members: DataFrame, data: DataFrame, find: Callable, t: tuple[int, int], block: int, name: str) -> DataFrame:
+    """v, label: components of the pairs that `find` links within a unit; rows without a link are missing.
+
+    members (unit, row, m: rows of the unit), data (row, n, data: what find compares).
+    """
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    laid = members.select("unit", "row", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("blk")).join(data, "row")
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, 2):
+            if len(group) > 1:
+                of = find(np.array([g[1] for g in group]), [g[2] for g in group], t)
+                if of:
+                    yield _edges([(group[i][0], group[j][0]) for i, j in of])
+
+    by_unit = laid.repartition("unit", "blk").sortWithinPartitions("unit", "blk", "row").select("unit", "blk", "row", "n", "data")
+    edges = C.stage(by_unit.mapInArrow(inside, "a long, b long").distinct(), f"{name}-edges")
+    label = components(edges)
+
+    # Units of more than one block whose rows aren't in one component yet: those outside the largest one against all.
+    wide = C.stage(members.where(blocks > 1).select("unit", "row", "m").join(label.select(F.col("v").alias("row"), "label"), "row", "left").withColumn("label", F.coalesce("label", "row")), f"{name}-wide")
+    shares = wide.groupBy("unit", "m", "label").agg(F.count("*").alias("c")).groupBy("unit", "m").agg(F.max(F.struct("c", "label")).alias("x")).where("x.c < m")
+    shares = C.stage(shares.select("unit", F.col("x.label").alias("main"), (F.col("m") - F.col("x.c")).alias("out")), f"{name}-open")
+    if shares.isEmpty():
+        return label
+    left = wide.join(shares, "unit")
+    a, b = F.ceil(F.col("out") / block).cast("int"), blocks
+    outer = left.where(F.col("label") != F.col("main")).select("unit", F.pmod(F.xxhash64("row"), a).cast("int").alias("ab"), F.explode(F.sequence(F.lit(0), b - 1)).alias("bb"), F.lit(0).alias("side"), "row", "label")
+    inner = left.select("unit", F.explode(F.sequence(F.lit(0), a - 1)).alias("ab"), F.pmod(F.xxhash64("row"), b).cast("int").alias("bb"), F.lit(1).alias("side"), "row", "label")
+    pairs = outer.unionByName(inner).join(data, "row").repartition("unit", "ab", "bb").sortWithinPartitions("unit", "ab", "bb", "side", "row")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, 3):
+            split = sum(g[0] == 0 for g in group)
+            if 0 < split < len(group):
+                ids = [g[1] for g in group]
+                of = find(np.array([g[3] for g in group]), [g[4] for g in group], t, split, np.array([g[2] for g in group]))
+                if of:
+                    yield _edges([(ids[i], ids[j]) for i, j in of])
+
+    more = pairs.select("unit", "ab", "bb", "side", "row", "label", "n", "data").mapInArrow(across, "a long, b long").distinct()
+    return components(C.stage(edges.unionByName(more), f"{name}-more"))
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, parts: int | None = None,
     frequent: int = FREQUENT, block: int = BLOCK, part_bytes: int = PART_BYTES,
@@ -268,49 +352,19 @@ def jaccard_components(
             k = b.column(1).to_numpy()
             keep = np.nonzero(wanted.value[np.mod(k, 1 << FILTER_BITS)])[0]
             sets = shingle_sets(b.column(0).take(pa.array(keep)), words)
-            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "data"])
 
-    one = chosen.groupBy("row").agg(F.min("k").alias("k"))
-    full = rows.select("text", "k").mapInArrow(whole, "k long, tokens binary")
-    sets = C.stage(full.join(one, "k").select("row", "tokens").dropDuplicates(["row"]), "ngram-tokens")
+    one = chosen.groupBy("row").agg(F.min("k").alias("k"), F.min("n").alias("n"))
+    full = rows.select("text", "k").mapInArrow(whole, "k long, data binary")
+    sets = C.stage(full.join(one, "k").select("row", "n", "data").dropDuplicates(["row"]), "ngram-tokens")
 
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    laid = chosen.select("unit", "row", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("blk")).join(sets, "row")
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, 2):
-            if len(group) > 1:
-                of = _links([np.frombuffer(x, np.uint64) for _, x in group], t)
-                if of:
-                    yield _edges([(group[i][0], group[j][0]) for i, j in of])
-
-    by_unit = laid.repartition("unit", "blk").sortWithinPartitions("unit", "blk", "row").select("unit", "blk", "row", "tokens")
-    edges = C.stage(by_unit.mapInArrow(inside, "a long, b long").distinct(), "ngram-edges")
-    label = components(edges)
+    def fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(2, "data", pa.array([bit_field(np.frombuffer(x, np.uint64)) for x in b.column(2).to_pylist()], pa.binary()))
 
-    # Units of more than one block whose documents aren't in one component yet: those outside the largest one against all.
-    wide = C.stage(chosen.where(blocks > 1).select("unit", "row", "m").join(label.select(F.col("v").alias("row"), "label"), "row", "left").withColumn("label", F.coalesce("label", "row")), "ngram-wide")
-    shares = wide.groupBy("unit", "m", "label").agg(F.count("*").alias("c")).groupBy("unit", "m").agg(F.max(F.struct("c", "label")).alias("x")).where("x.c < m")
-    shares = C.stage(shares.select("unit", F.col("x.label").alias("main"), (F.col("m") - F.col("x.c")).alias("out")), "ngram-open")
-    if not shares.isEmpty():
-        left = wide.join(shares, "unit")
-        a, b = F.ceil(F.col("out") / block).cast("int"), blocks
-        outer = left.where(F.col("label") != F.col("main")).select("unit", F.pmod(F.xxhash64("row"), a).cast("int").alias("ab"), F.explode(F.sequence(F.lit(0), b - 1)).alias("bb"), F.lit(0).alias("side"), "row", "label")
-        inner = left.select("unit", F.explode(F.sequence(F.lit(0), a - 1)).alias("ab"), F.pmod(F.xxhash64("row"), b).cast("int").alias("bb"), F.lit(1).alias("side"), "row", "label")
-        pairs = outer.unionByName(inner).join(sets, "row").repartition("unit", "ab", "bb").sortWithinPartitions("unit", "ab", "bb", "side", "row")
-
-        def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for group in _grouped(batches, 3):
-                split = sum(g[0] == 0 for g in group)
-                if 0 < split < len(group):
-                    ids, labels = [g[1] for g in group], [g[2] for g in group]
-                    of = _links([np.frombuffer(g[3], np.uint64) for g in group], t, split, np.array(labels))
-                    of = [(ids[i], ids[j]) for i, j in of if labels[i] != labels[j]]
-                    if of:
-                        yield _edges(of)
-
-        more = pairs.select("unit", "ab", "bb", "side", "row", "label", "tokens").mapInArrow(across, "a long, b long").distinct()
-        label = components(C.stage(edges.unionByName(more), "ngram-more"))
+    family = _within(chosen.select("unit", "row", "m"), sets.mapInArrow(fields, "row long, n int, data binary"), _hopeful, t, block, "ngram-units").withColumnsRenamed({"v": "row", "label": "unit"})
+    families = family.join(C.stage(unit_size(family), "ngram-families"), "unit")
+    label = _within(families, sets, _links, t, block, "ngram-families")
 
     named = nodes.join(firsts.select(*same, F.col("row").alias("first")), same, "left").join(label.withColumnRenamed("v", "first"), "first", "left")
     named = C.stage(named.select("doc_id", "n", "k", F.coalesce("label", "first", "row").alias("label")), "ngram-named")
