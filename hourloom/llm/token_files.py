@@ -15,6 +15,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,26 +39,28 @@ UNSAFE = r"^ | $|  |^$|[\t-\r\x{85}\p{Z}] [\t-\r\x{85}\p{Z}]"
 END_ID = 0
 
 
-def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], list[bytes]]:
-    """A function from texts to each text's ids as little-endian 32-bit numbers, for byte-level tokenizers. Made inside a task.
+@lru_cache(maxsize=1)
+def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function from texts to the ids of all, one text after the other, and how many each has; for byte-level tokenizers.
 
-    Texts are cut at single spaces, where a tokenizer of this kind always cuts, and each distinct piece is encoded once. New pieces go in long rows
-    to the tokenizer; an id whose piece opens with a space begins the next one. Texts with white space on both sides of a space are encoded whole.
+    Made inside a task, and kept by the worker process for its next ones. Texts are cut at single spaces, where a tokenizer of this kind always cuts,
+    and each distinct piece is encoded once. New pieces go in long rows to the tokenizer; an id whose piece opens with a space begins the next
+    one. Texts with white space on both sides of a space are encoded whole.
     """
     ids_of = encoder(tokenizer_json)
     vocabulary = json.loads(tokenizer_json)["model"]["vocab"]
     opens = np.zeros(max(vocabulary.values()) + 1, bool)
     opens[[i for token, i in vocabulary.items() if token.startswith(SPACE_BYTE)]] = True
     known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
     def bytes_of(texts: list[str]) -> list[bytes]:
         return ids_of(texts, lambda ids: np.array(ids, "<u4").tobytes())
 
     def learn(names: list[str]) -> None:
-        alone = [w for w in names if w[0] != " " or w[1].isspace() or w[-1].isspace()]
-        for w, b in zip(alone, bytes_of(alone)):
-            known[w] = b
-        rest = [w for w in names if w not in known]
+        alone = {w for w in names if w[0] != " " or w[1].isspace() or w[-1].isspace()}
+        known.update(zip(alone, bytes_of(list(alone))))
+        rest = [w for w in names if w not in alone]
         for i in range(0, len(rest), IN_A_ROW):
             few = rest[i : i + IN_A_ROW]
             ids = np.array(ids_of(["".join(few)])[0], np.int64)
@@ -68,12 +71,13 @@ def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], list[bytes]]:
             else:
                 known.update(zip(few, bytes_of(few)))
 
-    def encode(texts: pa.Array) -> list[bytes]:
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal known, older
         if len(known) > REMEMBERED:
-            known.clear()
+            known, older = {}, known
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         plain = pc.invert(pc.match_substring_regex(texts, UNSAFE)).to_numpy(zero_copy_only=False)
-        whole = iter(bytes_of(texts.filter(pa.array(~plain)).to_pylist()))
+        whole = bytes_of(texts.filter(pa.array(~plain)).to_pylist())
         pieces = pc.split_pattern(texts.filter(pa.array(plain)), " ")
         ends = pieces.offsets.to_numpy()
         ends = ends - ends[0]
@@ -81,13 +85,28 @@ def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], list[bytes]]:
         # Number 2k is a piece after a space, 2k + 1 the same piece at a text's start.
         number = coded.indices.to_numpy().astype(np.int64) * 2
         number[ends[:-1]] += 1
-        used, place = np.unique(number, return_inverse=True)
+        place = np.bincount(number, minlength=2 * len(coded.dictionary))
+        used = np.nonzero(place)[0]
+        place[used] = np.arange(len(used))
         names = [w if odd else " " + w for w, odd in zip(coded.dictionary.take(pa.array(used // 2)).to_pylist(), (used % 2).tolist())]
-        learn([w for w in names if w not in known])
-        table = np.empty(len(names), object)
-        table[:] = [known[w] for w in names]
-        rows = iter([b"".join(table[place[a:b]].tolist()) for a, b in zip(ends[:-1], ends[1:])])
-        return [next(rows if p else whole) for p in plain]
+        new = [w for w in names if w not in known]
+        known.update((w, older[w]) for w in new if w in older)
+        learn([w for w in new if w not in older])
+
+        # Texts as numbers of pieces, a whole text being one piece; pieces as ranges of one array of ids.
+        parts = [known[w] for w in names] + whole
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids = np.frombuffer(b"".join(parts), "<i4")
+        many = np.ones(len(texts), np.int64)
+        many[plain] = np.diff(ends)
+        cut = np.repeat(plain, many)
+        number_of = np.empty(len(cut), np.int64)
+        number_of[cut] = place[number]
+        number_of[~cut] = len(names) + np.arange(len(whole))
+        each = size[number_of]
+        shift = (np.cumsum(size) - size)[number_of] - (np.cumsum(each) - each)
+        totals = np.add.reduceat(each, np.cumsum(many) - many) if len(many) else many
+        return ids[np.repeat(shift, each) + np.arange(each.sum())], totals
 
     return encode
 
@@ -104,17 +123,19 @@ def write_tokens(
     keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id()]
     ordered = rows.select("doc_id", "text", keys[1].alias("_h"), keys[2].alias("_r")).repartitionByRange(keys[0], "_h", "_r")
     ordered = ordered.sortWithinPartitions(keys[0], "_h", "_r").select("doc_id", "text", F.spark_partition_id().alias("part"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seq = piece_encoder(tokenizer_json), 0
         for b in sliced(batches):
-            ids = [x + end for x in encode(b.column(1))]
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.arange(seq, seq + len(ids))), pa.array(n), lists], names=["doc_id", "part", "seq", "n_tokens", "tokens"])
-            seq += len(ids)
+            ids, n = encode(b.column(1))
+            ends = np.cumsum(n + 1)
+            flat = np.full(len(ids) + len(n), end_id, np.int32)
+            inner = np.ones(len(flat), bool)
+            inner[ends - 1] = False
+            flat[inner] = ids
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.arange(seq, seq + len(n))), pa.array(n + 1), lists], names=["doc_id", "part", "seq", "n_tokens", "tokens"])
+            seq += len(n)
 
     (
         ordered.mapInArrow(encoded, "doc_id long, part int, seq long, n_tokens long, tokens array<int>")
