@@ -170,13 +170,15 @@ def acf(clean: DataFrame, lags: int = 200, keys=KEYS, cfg: Settings = DEFAULTS)
 
 
 def pacf(
-    clean: DataFrame, lags: int = 100, last_hours: int = 20_000, keys=KEYS, cfg: Settings = DEFAULTS
+    clean: DataFrame, lags: int = 100, last_hours: int | None = None, keys=KEYS, cfg: Settings = DEFAULTS
 ) -> DataFrame:
-    """Partial autocorrelation of the last hours by the Durbin-Levinson recursion on
+    """Partial autocorrelation of the last hours (None: all) by the Durbin-Levinson recursion on
     autocovariances divided by n - k."""
     keys = list(keys)
-    end = clean.groupBy(*keys).agg(F.max("ts").alias("__end"))
-    recent = tl.join_series(clean, end, keys, cfg).where(F.col("ts") > F.col("__end") - tl.hours(last_hours))
+    recent = clean
+    if last_hours is not None:
+        end = clean.groupBy(*keys).agg(F.max("ts").alias("__end"))
+        recent = tl.join_series(clean, end, keys, cfg).where(F.col("ts") > F.col("__end") - tl.hours(last_hours))
     sums = lag_products(recent, lags, keys, cfg)
     cov = sums.withColumn("c", F.try_divide(F.col("s"), F.col("n_obs") - F.col("lag")))
     key_type = key_ddl(clean, keys)

@@ -43,7 +43,7 @@ def errors():
         mape().alias("mape"),
         rmse().alias("rmse"),
         mae().alias("mae"),
-        F.count(F.lit(1)).alias("n"),
+        F.count("y_pred").alias("n"),
     ]
 
 
@@ -53,8 +53,10 @@ def grouped_errors(results: DataFrame, by, keys=KEYS) -> DataFrame:
 
 
 def fold_maes(results: DataFrame, keys=KEYS) -> DataFrame:
+    """Each fold's MAE and number of predictions; a fold that lost predictions has no MAE."""
+    whole = F.count("y_pred") == F.count(F.lit(1))
     return results.groupBy(*keys, "model", "fold").agg(
-        mae().alias("fold_mae"), F.count(F.lit(1)).alias("n_rows")
+        F.when(whole, mae()).alias("fold_mae"), F.count("y_pred").alias("n_rows")
     )
 
 
@@ -110,7 +112,7 @@ def summarize(results: DataFrame, reference: str = BASELINE_MODEL, keys=KEYS) ->
         rmse().alias("rmse"),
         mae().alias("mae"),
         F.countDistinct("fold").alias("n_folds"),
-        F.count(F.lit(1)).alias("n_points"),
+        F.count("y_pred").alias("n_points"),
     )
     return base.join(mase(results, reference, keys), [*keys, "model"], "left").select(
         *keys, "model", "mape", "rmse", "mase", "mae", "n_folds", "n_points"
@@ -141,12 +143,12 @@ def _signed_rank_p(stat: pd.Series, z: pd.Series, n: pd.Series, exact: pd.Series
     return pd.Series([one(*row) for row in zip(stat, z, n, exact)])
 
 
-def compare_pairs(maes: DataFrame, pairs: DataFrame, keys=KEYS) -> DataFrame:
+def compare_pairs(maes: DataFrame, pairs: DataFrame, keys=KEYS, exact_up_to: int = 50) -> DataFrame:
     """Paired two-sided Wilcoxon signed-rank test on fold MAEs for every (model_a, model_b) row.
 
     Zero differences are dropped, ties share their average rank; the exact distribution serves up
-    to 50 folds without ties or zeros, the tie-corrected normal approximation everything else.
-    `unmatched_folds` counts folds only one of the two has.
+    to `exact_up_to` folds without ties or zeros, the tie-corrected normal approximation everything else.
+    `unmatched_folds` counts folds that one of the two lacks or has no MAE for.
     """
     keys = list(keys)
     a = maes.select(*keys, F.col("model").alias("model_a"), "fold", F.col("fold_mae").alias("a"))
@@ -187,7 +189,7 @@ def compare_pairs(maes: DataFrame, pairs: DataFrame, keys=KEYS) -> DataFrame:
     n = F.col("n").cast("double")
     stat = F.least("w_plus", "w_minus")
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("tie_term") / 2) / 24)
-    exact = (F.col("n_folds") <= 50) & (F.col("tie_term") == 0) & (F.col("n") == F.col("n_folds"))
+    exact = (F.col("n_folds") <= exact_up_to) & (F.col("tie_term") == 0) & (F.col("n") == F.col("n_folds"))
     tested = totals.withColumns(
         {
             "wilcoxon_stat": stat,
@@ -220,5 +222,5 @@ def compare_models(results: DataFrame, model_a: str, model_b: str, keys=KEYS) ->
     )
     out = compare_pairs(maes, pairs, keys)
     if not out.where("unmatched_folds > 0").isEmpty():
-        raise ValueError("cannot compare models scored on different folds")
+        raise ValueError(f"{model_a} and {model_b} have different folds or lost predictions")
     return out

@@ -101,8 +101,10 @@ def significance_table(
         )
         .distinct()
     )
+    # Models with other folds than their partner's, or lost predictions, are not tested.
+    same = F.col("unmatched_folds") == 0
     tests = M.compare_pairs(maes, pairs, keys).select(
-        *keys, "model_a", "model_b", "mean_diff", "p_value", "significant_at_05"
+        *keys, "model_a", "model_b", *[F.when(same, F.col(c)).alias(c) for c in ("mean_diff", "p_value", "significant_at_05")]
     )
     versus_base = tests.select(
         *keys,

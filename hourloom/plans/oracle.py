@@ -479,9 +479,8 @@ CTES["requests"] = """
 oracle("d22_forecast_dates", f"""
     SELECT q.series, q.date, CASE WHEN s.op_date IS NULL THEN 422 ELSE 200 END AS status,
            CASE WHEN TRY_CAST(q.date AS DATE) IS NULL THEN q.date || ' is not a date'
-                WHEN s.op_date IS NULL THEN q.date || ' cannot be forecast: outside the covered range '
-                  || coalesce(CAST(first_date AS VARCHAR), 'none') || '..' || coalesce(CAST(last_date AS VARCHAR), 'none')
-                  || ', or the day lacks complete inputs' END AS detail,
+                WHEN s.op_date IS NULL THEN q.date || ' has no forecast: days with all inputs lie between '
+                  || coalesce(CAST(first_date AS VARCHAR), 'none') || ' and ' || coalesce(CAST(last_date AS VARCHAR), 'none') END AS detail,
            'naive' AS model, trained_through,
            CASE WHEN s.op_date IS NOT NULL THEN strftime(f.ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS ts,
            CASE WHEN s.op_date IS NOT NULL THEN round_even(f.lag_24, 1) END AS mw

@@ -119,10 +119,12 @@ def write_table(df: DataFrame, path: str, partition_by=()) -> None:
 def write_results(results: DataFrame, path: str) -> None:
     """One folder per (protocol, model); a model that was never run has no folder.
 
+    Writing again replaces the folders that the results have rows for, and no others.
+
     Rebalancing gathers a folder's rows and splits large folders into files of like size.
     """
     balanced = results.hint("rebalance", "protocol", "model")
-    balanced.write.mode("append").partitionBy("protocol", "model").parquet(path)
+    balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("protocol", "model").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str, models=None, protocol: str = "weekly") -> DataFrame:

@@ -221,6 +221,16 @@ def test_summary_by_hand(results, results_pdf):
         assert row["n_folds"] == 12 and row["n_points"] == 288
 
 
+def test_lost_predictions_leave_no_score(results):
+    lost = results.withColumn("y_pred", F.when((F.col("model") == "naive") & (F.col("fold") == 2) & (F.col("hour") == 5), None).otherwise(F.col("y_pred")))
+    rows = {r["model"]: r for r in M.summarize(lost).where("series = 'a'").collect()}
+    assert rows["naive"]["mase"] is None and rows["naive"]["n_points"] == 287
+    assert rows["sarima"]["mase"] is not None and rows["sarima"]["n_points"] == 288
+    with pytest.raises(ValueError, match="different folds"):
+        M.require_aligned(lost)
+    assert RP.significance_table(lost).where("model = 'naive' AND beats_baseline_p IS NOT NULL").count() == 0
+
+
 def test_mase_needs_an_aligned_reference(results):
     assert M.mase(results.where("model <> 'snaive'")).where("mase IS NOT NULL").count() == 0
     broken = results.where("NOT (model = 'naive' AND fold = 1)")

@@ -140,7 +140,10 @@ def test_csv_to_clean_table(spark, raw, weather, clean_pdf, tmp_path):
 
 def test_result_store_skips_absent_models(spark, features, fold_table, tmp_path):
     path = str(tmp_path / "results")
-    readers.write_results(FC.run_backtest(["naive", "snaive"], features, fold_table, cfg=CFG), path)
+    results = FC.run_backtest(["naive", "snaive"], features, fold_table, cfg=CFG)
+    readers.write_results(results, path)
+    readers.write_results(results.where("model = 'naive'"), path)  # a second run replaces the first
+    assert readers.read_results(spark, path).count() == results.count()
     got = M.summarize(readers.read_results(spark, path, ["naive", "snaive", "lgbm"]))
     assert {r["model"] for r in got.collect()} == {"naive", "snaive"}
     assert M.summarize(readers.read_results(spark, path, ["lgbm"])).count() == 0
@@ -161,6 +164,13 @@ def test_acf_and_pacf_by_hand(clean, clean_pdf):
         assert tail[k] == pytest.approx(np.linalg.solve(toeplitz, c[1 : k + 1])[-1], rel=1e-6)
 
 
+def test_acf_beyond_a_block(clean, clean_pdf):
+    x = clean_pdf[clean_pdf.series == "a"].load.to_numpy()
+    x = x - x.mean()
+    got = X.lag_products(clean, 5000).where("series = 'a' AND lag % 700 = 0").orderBy("lag").toPandas().s.to_numpy()
+    np.testing.assert_allclose(got, [np.dot(x[k:], x[: len(x) - k]) for k in range(0, 5001, 700)], rtol=1e-7, atol=1e-6)
+
+
 def test_decomposition_adds_up(clean):
     d = X.decompose(X.daily_mean(clean)).toPandas()
     full = d.dropna()
