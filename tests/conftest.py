@@ -12,16 +12,11 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from hourloom import Settings, build_session, materialize  # noqa: E402
+from fixture_values import CFG, LONG_GAP, SHORT_GAP, SPIKE, TZ  # noqa: E402
+from hourloom import build_session, materialize  # noqa: E402
 from hourloom.operators import cleaning, folds  # noqa: E402
 from hourloom.operators.features import build_features  # noqa: E402
 
-TZ = "America/New_York"
-CFG = Settings(n_folds=12)
-SHORT_GAP = pd.date_range("2016-05-10 03:00", periods=3, freq="h", tz=TZ)
-LONG_GAP = pd.date_range("2016-09-14 00:00", periods=30, freq="h", tz=TZ)
-SPIKE = pd.Timestamp("2017-03-15 14:00", tz=TZ)
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import CFG
+from fixture_values import CFG
 from hourloom import Settings, materialize
 from hourloom.config import FEATURES
 from hourloom.functions import timeline as tl

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import LONG_GAP, SHORT_GAP, SPIKE, TZ
+from fixture_values import LONG_GAP, SHORT_GAP, SPIKE, TZ
 from hourloom import Settings
 from hourloom.operators import cleaning as C
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import TZ
+from fixture_values import TZ
 from hourloom.config import FEATURES
 from hourloom.functions import timeline as tl
 from hourloom.operators import features as FE

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import CFG
+from fixture_values import CFG
 from hourloom.config import FEATURES
 from hourloom.operators import audit as A
 from hourloom.operators import explore as X
