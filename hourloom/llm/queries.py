@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import common as C
-from hourloom.llm import bpe, exact_dedup, fingerprints, hmm, mixing, ngram_join, quality, sharding, token_files, whitening, wrappers
+from hourloom.llm import bpe, exact_dedup, fingerprints, hmm, mixing, ngram_join, prefix_trie, quality, sharding, token_files, whitening, wrappers
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(C.table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(C.table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_token_files, op3_ngram_join, op4_fingerprints, op5_kd_shards, op6_hmm, op7_quality, op8_html, op9_mix, op10_bpe,
-        op12_whitening,
+        op12_whitening, op13_prefix_trie,
     )
 }
