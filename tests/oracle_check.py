@@ -56,6 +56,8 @@ def compare(spark_df, con, sql) -> str | None:
         # pandas shows dates as objects on one side and as datetimes on the other
         if str(left[c].dtype)[:5] != str(right[c].dtype)[:5]
         and {str(left[c].dtype)[:8], str(right[c].dtype)[:8]} != {"object", "datetime"}
+        # and whole numbers with nulls as floats on one side
+        and {str(left[c].dtype), str(right[c].dtype)} != {"float64", "Int64"}
     }
     if diff:
         return f"{len(diff)}/{len(a)} rows differ, e.g.\n   {diff[0][0]}\n   {diff[0][1]}"
