@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import common as C
-from hourloom.llm import bpe, exact_dedup, fingerprints, hmm, mixing, ngram_join, prefix_trie, quality, sharding, token_files, whitening, wrappers
+from hourloom.llm import bpe, exact_dedup, fingerprints, hmm, mixing, ngram_join, prefix_trie, quality, secrets, sharding, token_files, whitening, wrappers
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(_documents(spark, sf_dir))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(C.table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +81,6 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_token_files, op3_ngram_join, op4_fingerprints, op5_kd_shards, op6_hmm, op7_quality, op8_html, op9_mix, op10_bpe,
-        op12_whitening, op13_prefix_trie,
+        op11_secrets, op12_whitening, op13_prefix_trie,
     )
 }
