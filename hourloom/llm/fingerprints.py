@@ -99,7 +99,7 @@ def with_next(docs: DataFrame, made: dict[str, Column], *, buckets: int | None =
     spark = docs.sparkSession
     buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
     low = F.lit(-(2**63))
-    rows = docs.select("doc_id", "text", (-F.coalesce(F.col("doc_id"), low)).alias("_o"), F.xxhash64("text").alias("_h"))
+    rows = docs.select("doc_id", "text", F.bitwise_not(F.coalesce(F.col("doc_id"), low)).alias("_o"), F.xxhash64("text").alias("_h"))
     steps = [i / buckets for i in range(1, buckets)]
     cuts = rows.agg(F.percentile_approx("_o", steps, 100 * buckets)).first()[0] if steps else []  # one number a bucket
     below, upto = (F.size(F.filter(F.lit(cuts or []).cast("array<long>"), f)) for f in (lambda c: c < F.col("_o"), lambda c: c <= F.col("_o")))
