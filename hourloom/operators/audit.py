@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from hourloom.operators import folds as fo
 from hourloom.operators import metrics as M
 from hourloom.operators.features import build_features
 from hourloom.operators.forecasters import results_frame
+from hourloom.session import materialize
 
 
 def corrupt_after(clean: DataFrame, cutoffs: DataFrame, column: str, keys=KEYS) -> DataFrame:
@@ -52,34 +55,72 @@ def leakage_replay(
     return wide.select(*keys, F.inline(F.array(*pairs)))
 
 
-def shuffle_target(features: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Permute y among the hours of each (series, block) by a hash order, breaking its tie
-    to the inputs."""
+def forecast_replay(
+    clean: DataFrame, features: DataFrame, fold: DataFrame, forecasters: dict, column: str = "load", keys=KEYS,
+    cfg: Settings = DEFAULTS,
+) -> DataFrame:
+    """Per series and model: target hours whose forecast moved when `column` was corrupted past the cutoff.
+
+    Features are rebuilt from the corrupted table and every model is refit on them. `fold` holds one fold per series.
+    """
     keys = list(keys)
-    block = tl.block_of(F.col("op_date"), cfg)
-    group = [*keys, "__block"]
-    by_hash = Window.partitionBy(*group).orderBy(F.xxhash64("ts"), "ts")
-    by_time = Window.partitionBy(*group).orderBy("ts")
-    ranked = features.withColumn("__block", block).withColumns(
-        {"__h": F.row_number().over(by_hash), "__t": F.row_number().over(by_time)}
-    )
-    donors = ranked.select(*group, F.col("__h").alias("__t"), F.col("y").alias("__y"))
-    return (
-        ranked.join(donors, [*group, "__t"]).withColumn("y", F.col("__y")).drop("__block", "__h", "__t", "__y")
-    )
+    rebuilt = materialize(build_features(corrupt_after(clean, fold, column, keys), keys, cfg), "replay-features")
+    rows = []
+    for name, forecaster in forecasters.items():
+        before = forecaster(features, fold, keys, cfg).select(*keys, "ts", "y_pred")
+        after = forecaster(rebuilt, fold, keys, cfg).select(*keys, "ts", F.col("y_pred").alias("__again"))
+        a, b = F.col("y_pred"), F.col("__again")
+        same = a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= F.lit(1e-6) * F.greatest(F.abs(a), F.lit(1.0)), F.lit(False))
+        rows.append(
+            before.join(after, [*keys, "ts"], "full").groupBy(*keys)
+            .agg(F.count("y_pred").alias("n_hours"), F.count_if(~same).alias("moved_hours"))
+            .select(*keys, F.lit(name).alias("model"), "n_hours", "moved_hours")
+        )
+    return reduce(DataFrame.unionByName, rows)
+
+
+def shuffle_target(features: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS, value: str = "y") -> DataFrame:
+    """Permute a column over each series' whole history, breaking its tie to the inputs.
+
+    Every row has a place in time order and one in the order of a hash; the value at a place in hash order goes to the row
+    at that place in time order. Places are counted within blocks, of time and of hashes, and added up over the blocks.
+    """
+    keys = list(keys)
+    rows = features.withColumns({"__block": tl.block_of(F.col("op_date"), cfg), "__hash": F.xxhash64("ts")})
+    sizes = rows.groupBy(*keys, "__block").count()
+    n_blocks = sizes.groupBy(*keys).agg(F.count("*").alias("__blocks"))
+    rows = tl.join_series(rows, n_blocks, keys, cfg).withColumn("__bucket", F.pmod(F.shiftright("__hash", 16), F.col("__blocks")))
+
+    def places(part: str, order: list[str], name: str) -> DataFrame:
+        """The rows with their place, 1 to n."""
+        counts = rows.groupBy(*keys, part).agg(F.count("*").alias("__n"))  # a row per block
+        earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(*keys, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+        rank = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))
+        return rows.withColumn("__rank", rank).join(offsets, [*keys, part]).withColumn(name, F.col("__rank") + F.col("__before"))
+
+    in_time = places("__block", ["ts"], "__place").drop(value)
+    donors = places("__bucket", ["__hash", "ts"], "__place").select(*keys, "__place", value)
+    return in_time.join(donors, [*keys, "__place"]).select(*features.columns)
 
 
 def shuffled_target_check(
-    features: DataFrame, folds: DataFrame, forecaster, keys=KEYS, cfg: Settings = DEFAULTS
+    features: DataFrame, fold: DataFrame, forecasters: dict, keys=KEYS, cfg: Settings = DEFAULTS
 ) -> DataFrame:
-    """MAPE of a forecaster trained on the true and on a permuted target."""
+    """Per series and model: MAPE when trained on the true history and on a permuted one.
+
+    `fold` holds one fold per series; what lies past its cutoff is left alone.
+    """
     keys = list(keys)
+    cut = tl.join_series(features, fold.select(*keys, F.col("cutoff").alias("__cutoff")), keys, cfg)
+    past, future = (cut.where(c).drop("__cutoff") for c in ("ts <= __cutoff", "ts > __cutoff"))
+    shuffled = materialize(shuffle_target(past, keys, cfg).unionByName(future), "shuffled-features")
 
-    def scored(table, name):
-        made = forecaster(table, folds, keys, cfg)
-        rows = results_frame(made, features, folds, name, keys=keys)
+    def scored(table, forecaster, name):
+        rows = results_frame(forecaster(table, fold, keys, cfg), features, fold, name, keys=keys)
         return rows.groupBy(*keys).agg(M.mape().alias(name))
 
-    return scored(features, "mape").join(
-        scored(shuffle_target(features, keys, cfg), "mape_shuffled"), keys
-    )
+    return reduce(DataFrame.unionByName, [
+        scored(features, f, "mape").join(scored(shuffled, f, "mape_shuffled"), keys).withColumn("model", F.lit(name))
+        for name, f in forecasters.items()
+    ])

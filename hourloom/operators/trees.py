@@ -1,23 +1,25 @@
-"""Direct multi-horizon boosted trees: one MLlib regressor per lead, trained on all series."""
+"""Direct multi-horizon boosted trees: one model per series and lead, refit for every fold.
 
-from __future__ import annotations
+A lead of a series has one row per operating day, so a fit needs no more than the days up to its cutoff: Spark deals
+(series, lead, fold part) groups over the cluster and boosting.py fits inside a group. Usable rows are written once,
+partitioned by lead; a group reads its lead's days in order and each fold takes those up to its cutoff.
+"""
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.config import DEFAULTS, FEATURES, KEYS, Settings
 from hourloom.functions import timeline as tl
+from hourloom.operators import boosting
 from hourloom.operators import folds as fo
-from hourloom.operators.features import inputs_present, usable
+from hourloom.operators.features import usable
 from hourloom.session import materialize
 
-# Boosting parameters (depth 6 gives the 63-leaf trees' size).
+# Boosting parameters (depth 6 gives the 63-leaf trees' size), and how long to wait for a better round.
 PARAMS = {
     "maxIter": 600,
     "stepSize": 0.05,
@@ -25,8 +27,19 @@ PARAMS = {
     "minInstancesPerNode": 20,
     "subsamplingRate": 0.9,
     "featureSubsetStrategy": "0.9",
+    "patience": 50,
+    "bins": 64,
 }
 MIN_VALIDATION = 10
+WEATHER_INPUTS = ("temp", "hdd", "cdd", "temp_lag24")
+#: Folds of one series and lead are fit in so many groups.
+FOLD_PARTS = 4
+
+_FIT = "rounds int, n_train int, n_valid int"
+_MODEL = (
+    f"{_FIT}, base double, feature array<int>, threshold array<double>, missing_left array<boolean>, "
+    "value array<double>, gain array<double>"
+)
 
 
 def holdout_split(train: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -43,61 +56,131 @@ def holdout_split(train: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS) -> Data
     return marked.withColumn("is_validation", held).drop("__n", "__r")
 
 
-def fit_leads(
-    train: DataFrame, params: dict | None = None, leads=None, keys=KEYS,
-    cfg: Settings = DEFAULTS, threads: int = 4, x=FEATURES,
-) -> dict[int, PipelineModel]:
-    """One fitted pipeline per lead. The driver only submits the fits, a few at a time; each is
-    a distributed job over that lead's rows."""
-    leads = list(leads or range(1, cfg.horizon + 1))
-    split = holdout_split(usable(train).select(*keys, "ts", "lead", "y", *x), keys, cfg)
-    stored = materialize(split.hint("rebalance", "lead"), "tree-train", ["lead"])
-    settings = {**PARAMS, "seed": cfg.seed, **(params or {})}
+def n_validation(n: int, cfg: Settings = DEFAULTS) -> int:
+    """How many of a lead's n rows holdout_split marks."""
+    held = min(cfg.val_days, n // 5)
+    return held if held >= MIN_VALIDATION else 0
+
+
+def training_store(features: DataFrame, keys=KEYS, x=FEATURES) -> DataFrame:
+    """What models may learn from, written once: usable rows, a folder per lead."""
+    rows = usable(features).select(*keys, "ts", "lead", F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in x])
+    return materialize(rows.hint("rebalance", "lead"), "tree-store", ["lead"])
 
-    def fit(lead: int) -> PipelineModel:
-        rows = stored.where(F.col("lead") == lead)
-        gbt = GBTRegressor(
-            featuresCol="x", labelCol="y", predictionCol="y_pred",
-            validationIndicatorCol="is_validation", **settings,
-        )
-        if rows.where("is_validation").isEmpty():
-            gbt.clear(gbt.validationIndicatorCol)
-        return Pipeline(stages=[VectorAssembler(inputCols=list(x), outputCol="x"), gbt]).fit(rows)
 
-    with ThreadPoolExecutor(threads) as pool:
-        return dict(zip(leads, pool.map(fit, leads)))
+def _spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """Groups dealt over every core; a stated number, for the groups' bytes say nothing about the time of a fit."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
 
 
-def predict_leads(models: dict[int, PipelineModel], rows: DataFrame) -> DataFrame:
-    """Predict every row with the model of its lead; rows lacking an input stay null."""
-    ready = rows.where(inputs_present())
-    parts = [m.transform(ready.where(F.col("lead") == lead)) for lead, m in models.items()]
-    return reduce(DataFrame.unionByName, [p.drop("x") for p in parts])
+def _fit(pdf: pd.DataFrame, x, settings: dict, cfg: Settings) -> tuple[boosting.Ensemble, int, int]:
+    held = n_validation(len(pdf), cfg)
+    model = boosting.fit(pdf[list(x)].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float), held, settings)
+    return model, len(pdf) - held, held
+
+
+def fit_models(
+    features: DataFrame, params: dict | None = None, leads=None, keys=KEYS, cfg: Settings = DEFAULTS, x=FEATURES,
+) -> DataFrame:
+    """One row per series and lead: rounds kept, rows learnt from and held out, and the trees as arrays."""
+    keys, settings = list(keys), {**PARAMS, "seed": cfg.seed, **(params or {})}
+    store = training_store(features, keys, x)
+    if leads:
+        store = store.where(F.col("lead").isin(list(leads)))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        model, n_train, n_valid = _fit(pdf.sort_values("ts"), x, settings, cfg)
+        row = {c: pdf[c].iloc[0] for c in (*keys, "lead")}
+        row |= {"rounds": model.rounds, "n_train": n_train, "n_valid": n_valid, "base": model.base}
+        row |= {c: getattr(model, c).ravel().tolist() for c in ("feature", "threshold", "missing_left", "value", "gain")}
+        return pd.DataFrame([row])
 
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in store.select(*keys, "lead").schema)
+    return _spread(store, [*keys, "lead"]).groupBy(*keys, "lead").applyInPandas(fit, f"{types}, {_MODEL}")
 
-def tree_forecast(
+
+def predict_models(models: DataFrame, hours: DataFrame, keys=KEYS, x=FEATURES) -> DataFrame:
+    """(keys, fold, ts, y_pred) of rows with a fold: each by the model of its series and lead.
+
+    A missing input goes the way that its node learnt; without a model the prediction is null.
+    """
+    keys = list(keys)
+    rows = hours.select(*keys, "lead", "fold", "ts", *[F.col(c).cast("double").alias(c) for c in x])
+    width = len(x)
+
+    def predict(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        out = rows[[*keys, "fold", "ts"]].copy()
+        if len(model):
+            m = model.iloc[0]
+            shape = (int(m["rounds"]), -1)
+            trees = boosting.Ensemble(
+                float(m["base"]), *(np.asarray(m[c]).reshape(shape) for c in ("feature", "threshold", "missing_left", "value")), np.zeros(width))
+            out["y_pred"] = trees.predict(rows[list(x)].to_numpy(dtype=float)) if len(rows) else []
+        else:
+            out["y_pred"] = np.nan
+        return out
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys, "fold", "ts").schema)
+    made = rows.groupBy(*keys, "lead").cogroup(models.groupBy(*keys, "lead")).applyInPandas(predict, f"{types}, y_pred double")
+    return made.withColumn("y_pred", F.nanvl("y_pred", F.lit(None).cast("double")))
+
+
+def fold_fits(
     features: DataFrame, folds: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS,
-    params: dict | None = None, leads=None, threads: int = 4,
+    params: dict | None = None, leads=None, x=FEATURES, store: DataFrame | None = None,
 ) -> DataFrame:
-    """Refit all leads for each fold number on what lies at or before its cutoffs."""
-    numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())  # <= n_folds
-    out = []
-    for number in numbers:
-        one = folds.where(F.col("fold") == number)
-        train = tl.join_series(features, one.select(*keys, "cutoff"), keys, cfg).where("ts <= cutoff")
-        models = fit_leads(train.drop("cutoff"), params, leads, keys, cfg, threads)
-        hours = fo.target_rows(features, one, keys).drop("y")
-        out.append(predict_leads(models, hours).select(*keys, "fold", "ts", "y_pred"))
-    return materialize(reduce(DataFrame.unionByName, out), "tree-forecast")
-
-
-def feature_importance(models: dict[int, PipelineModel], spark, x=FEATURES) -> DataFrame:
-    """Importance averaged over the lead models (each sums to one), largest first."""
-    per_lead = [m.stages[-1].featureImportances.toArray() for m in models.values()]
-    mean = sum(per_lead) / len(per_lead)
-    share = mean / mean.sum() if mean.sum() else mean
-    rows = sorted(zip(x, map(float, share)), key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame(rows, "feature string, gain double")
+    """(keys, fold, lead, ts, y_pred, rounds, n_train, n_valid): every lead of every fold, fit on what lies at or before the
+    fold's cutoff in its own series. Without a usable row there the prediction is null.
+
+    History is copied to FOLD_PARTS groups per series and lead, whatever the number of folds.
+    """
+    keys, settings = list(keys), {**PARAMS, "seed": cfg.seed, **(params or {})}
+    store = training_store(features, keys, x) if store is None else store
+    targets = fo.target_rows(features, folds, keys)
+    if leads:
+        store, targets = (t.where(F.col("lead").isin(list(leads))) for t in (store, targets))
+    wanted = targets.select(
+        *keys, "lead", (F.col("fold") % FOLD_PARTS).alias("part"), "fold", "cutoff", "ts", *[F.col(c).cast("double").alias(c) for c in x])
+    last = folds.groupBy(*keys).agg(F.max("cutoff").alias("last_cutoff"))
+    history = tl.join_series(store, last, keys, cfg).where("ts <= last_cutoff").drop("last_cutoff").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(FOLD_PARTS - 1))))
+
+    def fit(history: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+        history = history.sort_values("ts")
+        made = []
+        for _, row in targets.sort_values("fold").iterrows():
+            seen = history[history["ts"] <= row["cutoff"]]
+            out = {c: row[c] for c in (*keys, "fold", "lead", "ts")}
+            if len(seen):
+                model, n_train, n_valid = _fit(seen, x, settings, cfg)
+                y = float(model.predict(row[list(x)].to_numpy(dtype=float)[None, :])[0])
+                out |= {"y_pred": y, "rounds": model.rounds, "n_train": n_train, "n_valid": n_valid}
+            else:
+                out |= {"y_pred": None, "rounds": 0, "n_train": 0, "n_valid": 0}
+            made.append(out)
+        columns = [*keys, "fold", "lead", "ts", "y_pred", "rounds", "n_train", "n_valid"]
+        return pd.DataFrame(made, columns=columns).astype({"y_pred": float})
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in targets.select(*keys, "fold", "lead", "ts").schema)
+    group = [*keys, "lead", "part"]
+    fits = _spread(history, group).groupBy(*group).cogroup(_spread(wanted, group).groupBy(*group))
+    made = materialize(fits.applyInPandas(fit, f"{types}, y_pred double, {_FIT}"), "tree-fits")
+    return made.withColumn("y_pred", F.nanvl("y_pred", F.lit(None).cast("double")))
+
+
+def tree_forecast(features: DataFrame, folds: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS, **options) -> DataFrame:
+    """fold_fits() as a forecaster."""
+    return fold_fits(features, folds, keys, cfg, **options).select(*keys, "fold", "ts", "y_pred")
+
+
+def feature_importance(models: DataFrame, keys=KEYS, x=FEATURES) -> DataFrame:
+    """Per series: each input's share of the split gain, averaged over the lead models."""
+    gains = models.select(*keys, F.posexplode("gain").alias("at", "gain")).groupBy(*keys, "at").agg(F.avg("gain").alias("gain"))
+    total = F.sum("gain").over(Window.partitionBy(*keys))  # one row per input
+    names = F.element_at(F.array(*map(F.lit, x)), F.col("at") + 1)
+    return gains.select(*keys, names.alias("feature"), F.coalesce(F.try_divide("gain", total), F.lit(0.0)).alias("gain"))
 
 
 def weather_ablation(
@@ -110,7 +193,7 @@ def weather_ablation(
 
     keys = list(keys)
     folds = materialize(fo.make_folds(features, n_folds, None, keys, cfg), "ablation-folds")
-    zero = {c: F.lit(0.0) for c in ("temp", "hdd", "cdd", "temp_lag24")}
+    zero = {c: F.lit(0.0) for c in WEATHER_INPUTS}
 
     def scored(table, name):
         made = forecaster(table, folds, keys, cfg, **options)
@@ -120,3 +203,12 @@ def weather_ablation(
     return scored(features, "mape_with_weather").join(
         scored(features.withColumns(zero), "mape_without_weather"), [*keys, "fold", "target_date"]
     )
+
+
+def ablation_gap(ablation: DataFrame, keys=KEYS) -> DataFrame:
+    """Per series: mean MAPE over the folds with and without weather, and what the weather is worth, also relative."""
+    with_w, without = F.avg("mape_with_weather"), F.avg("mape_without_weather")
+    return ablation.groupBy(*keys).agg(
+        F.count("*").alias("n_folds"), with_w.alias("mape_with_weather"), without.alias("mape_without_weather"),
+        (without - with_w).alias("gap"), F.try_divide(without, with_w).alias("ratio"),
+    ).withColumn("relative_gap", F.col("ratio") - 1).drop("ratio")

@@ -32,7 +32,7 @@ BASELINES = ("naive", "snaive")
 class Stages:
     """Stage tables of one data folder, written once per application and shared by the queries."""
 
-    _made: dict[tuple, DataFrame] = {}
+    _made: dict[tuple, DataFrame | str] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -81,14 +81,13 @@ class Stages:
     @property
     def results(self):
         """Baselines on the weekly folds, as stored rows."""
-        # Unguarded, here and below: these tables' load is noise, and on the smallest ones truth itself leaves the guards' band.
-        return self._stage("results", lambda: FC.run_backtest(BASELINES, self.features, self.folds, guard=False))
+        return self._stage("results", lambda: FC.run_backtest(BASELINES, self.features, self.folds))
 
     @property
     def dense_results(self):
         return self._stage(
             "dense-results",
-            lambda: FC.run_backtest(BASELINES, self.features, self.dense_folds, "dense", guard=False),
+            lambda: FC.run_backtest(BASELINES, self.features, self.dense_folds, "dense"),
         )
 
     @property
@@ -98,6 +97,24 @@ class Stages:
             F.max("cutoff").alias("cutoff"),
         )
 
+    @property
+    def artifact(self) -> str:
+        """Folder of the models fit on everything."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "artifact")
+        if key not in self._made:
+            path = self.fresh_path("artifact")
+            S.build_artifact(self.clean, path, M.summarize(self.results))
+            self._made[key] = path
+        return self._made[key]
+
+    @property
+    def tree_fits(self):
+        return self._stage("tree-fits", lambda: TR.fold_fits(self.features, self.folds))
+
+    @property
+    def ablation(self):
+        return self._stage("ablation", lambda: TR.weather_ablation(self.features))
+
     def fresh_path(self, name: str) -> str:
         return f"{stage_root(self.spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -171,16 +188,13 @@ def _(s):
     return s.spark.read.schema(summary.schema).option("header", True).csv(path)
 
 
-QUICK_TREES = {"maxIter": 2, "maxDepth": 3}  # a short fit; PARAMS holds the full one
-
-
 @query("a10_artifact_round_trip")
 def _(s):
-    path = s.fresh_path("artifact")
-    S.build_artifact(s.clean, path, M.summarize(s.results), params=QUICK_TREES, leads=[1, 24])
-    facts, clean, models = S.load_artifact(s.spark, path)
+    facts, clean, models = S.load_artifact(s.spark, s.artifact)
     n = clean.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("history_rows"))
-    return facts.join(n, list(KEYS)).withColumn("n_models", F.lit(len(models)))
+    fits = models.groupBy(*KEYS).agg(F.count("*").alias("n_models"))
+    return facts.drop("n_models").join(n, list(KEYS)).join(fits, list(KEYS)).select(
+        *KEYS, "artifact_version", "model", "trained_through", "seed", "n_models", "n_train", "n_valid", "history_rows")
 
 
 # ---------------------------------------------------------------- cleaning
@@ -304,42 +318,40 @@ simple("d11_missing_history", lambda s: FC.missing_history(FC.seasonal_naive(s.f
 
 @query("d12_direct_trees")
 def _(s):
-    made = TR.tree_forecast(s.features, s.last_fold, params=QUICK_TREES, threads=8)
-    return FC.results_frame(made, s.features, s.last_fold, "lgbm")
+    made = s.tree_fits.select(*KEYS, "fold", "ts", "y_pred")
+    return FC.results_frame(FC.guard_forecasts(made, s.features, s.folds), s.features, s.folds, "lgbm")
 
 
+simple("d12_training_sizes", lambda s: s.tree_fits.select(*KEYS, "fold", "lead", "ts", "n_train", "n_valid"))
+simple("d13_best_rounds", lambda s: s.tree_fits.select(*KEYS, "fold", "lead", "rounds", "n_valid"))
 simple("d13_holdout", lambda s: TR.holdout_split(FE.usable(s.features)).select(*KEYS, "lead", "ts", "is_validation"))
 
 
 @query("d14_feature_importance")
 def _(s):
-    return TR.feature_importance(TR.fit_leads(s.features, QUICK_TREES, threads=8), s.spark)
+    return TR.feature_importance(S.load_artifact(s.spark, s.artifact)[2])
 
 
 simple("d15_harmonic_moments", lambda s: R.harmonic_moment_report(s.features, s.folds))
-simple("d15_harmonic_forecast", lambda s: FC.run_backtest(["sarima"], s.features, s.folds, guard=False))
-simple("d16_additive_forecast", lambda s: FC.run_backtest(["prophet"], s.features, s.folds, guard=False))
+simple("d15_harmonic_forecast", lambda s: FC.run_backtest(["sarima"], s.features, s.folds))
+simple("d16_additive_forecast", lambda s: FC.run_backtest(["prophet"], s.features, s.folds))
 simple(
     "d17_guards",
     lambda s: FC.forecast_violations(FC.naive(s.features, s.folds), s.features, s.folds),
 )
-simple("d18_backtest", lambda s: FC.run_backtest(["snaive"], s.features, s.folds, guard=False))
-simple("d19_multi_model", lambda s: FC.run_backtest(BASELINES, s.features, s.folds, guard=False))
+simple("d18_backtest", lambda s: FC.run_backtest(["snaive"], s.features, s.folds))
+simple("d19_multi_model", lambda s: FC.run_backtest(BASELINES, s.features, s.folds))
 
 
 @query("d20_retrain")
 def _(s):
-    path = s.fresh_path("retrained")
-    S.build_artifact(s.clean, path, M.summarize(s.results), params=QUICK_TREES, threads=8)
-    _, clean, models = S.load_artifact(s.spark, path)
-    made = S.artifact_forecaster(models)(FE.build_features(clean), s.last_fold)
-    return FC.results_frame(made, s.features, s.last_fold, "lgbm")
+    _, clean, models = S.load_artifact(s.spark, s.artifact)
+    made = S.artifact_forecaster(models)(FE.build_features(clean), s.folds)
+    return FC.results_frame(made, s.features, s.folds, "lgbm")
 
 
-simple(
-    "d21_weather_ablation",
-    lambda s: TR.weather_ablation(s.features, 1, params=QUICK_TREES, threads=8),
-)
+simple("d21_weather_ablation", lambda s: s.ablation)
+simple("d21_ablation_gap", lambda s: TR.ablation_gap(s.ablation))
 
 
 def _requests(s):
@@ -353,14 +365,21 @@ def _requests(s):
     return orders.unionByName(own).distinct()
 
 
-@query("d22_forecast_dates")
-def _(s):
-    answers = S.forecast_dates(_requests(s), s.features, FC.naive, "naive")
+def _answers(s, forecaster, model):
+    answers = S.forecast_dates(_requests(s), s.features, forecaster, model)
     return answers.select("*", F.explode_outer("predictions").alias("p")).select(
         *KEYS, "date", "status", "detail", "model", "trained_through", F.col("p.ts").alias("ts"), F.col("p.mw").alias("mw")
     )
 
 
+simple("d22_forecast_dates", lambda s: _answers(s, FC.naive, "naive"))
+
+
+@query("d22_fitted_forecast_dates")
+def _(s):
+    return _answers(s, S.artifact_forecaster(S.load_artifact(s.spark, s.artifact)[2]), "lgbm")
+
+
 simple("d23_coverage", lambda s: S.coverage(s.features, None, "naive"))
 
 
@@ -373,11 +392,22 @@ def _(s):
     return replay("load").unionByName(replay("temp_c"))
 
 
+simple(
+    "d24_forecast_replay",
+    lambda s: A.forecast_replay(s.clean, s.features, s.last_fold, {m: FC.REGISTRY[m] for m in ("naive", "snaive", "prophet", "lgbm")}),
+)
 simple(
     "d25_shuffled_target",
-    lambda s: A.shuffled_target_check(s.features, s.folds, FC.REGISTRY["prophet"]),
+    lambda s: A.shuffled_target_check(s.features, s.last_fold, {m: FC.REGISTRY[m] for m in ("prophet", "lgbm")}),
 )
 
+
+@query("d25_permutation")
+def _(s):
+    made = A.shuffle_target(s.features.select(*KEYS, "ts", "op_date", "y")).groupBy(*KEYS)
+    return made.agg(F.count("y").alias("n"), F.round(F.sum("y"), 3).alias("sum_y"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+
+
 # ---------------------------------------------------------------- metrics and reports
 _COMPARED = [("naive", "snaive"), ("snaive", "naive"), ("naive", "naive")]
 

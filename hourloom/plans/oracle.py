@@ -35,17 +35,17 @@ _WEEKLY = "SELECT * FROM results WHERE protocol = 'weekly'"
 CTES: dict[str, str] = {
     "raw_load": """
         SELECT 'S' || lpad(CAST(l_orderkey // 5000 AS VARCHAR), 8, '0') AS series,
-               TIMESTAMP '2016-01-01 00:00:00' + to_hours(CAST(h
-                 + CASE WHEN h >= 3123 THEN 3 ELSE 0 END
-                 + CASE WHEN h >= 6165 THEN 30 ELSE 0 END AS INTEGER)) AS wall,
-               CASE WHEN l_orderkey % 641 = 0 THEN 1200 * sqrt(l_extendedprice)
-                    WHEN l_orderkey % 643 = 1 THEN -100 * sqrt(l_extendedprice)
-                    ELSE 100 * sqrt(l_extendedprice) END AS load
-        FROM (SELECT *, (l_orderkey * 7 + l_linenumber * 1237) % 9600 AS h FROM lineitem)""",
+               TIMESTAMP '2016-01-01 00:00:00' + to_hours(CAST(h AS INTEGER)) AS wall,
+               CASE WHEN l_orderkey % 641 = 0 THEN 12 WHEN l_orderkey % 643 = 1 THEN -1 ELSE 1 END * (
+                 24000 + 4500 * sin(2 * pi() * (h % 24 - 9) / 24) + CASE WHEN (h // 24 + 4) % 7 >= 5 THEN -1500 ELSE 0 END
+                 + 2500 * cos(2 * pi() * (h - 480) / 8766) + 20 * sqrt(l_extendedprice)) AS load
+        FROM (SELECT *, r + CASE WHEN r >= 3123 THEN 3 ELSE 0 END + CASE WHEN r >= 6165 THEN 30 ELSE 0 END AS h
+              FROM (SELECT *, (l_orderkey * 7 + l_linenumber * 1237) % 9600 AS r FROM lineitem))""",
     "raw_weather": """
-        SELECT TIMESTAMP '2016-01-01 00:00:00' + to_hours(CAST(h + h // 36 AS INTEGER)) AS datetime_utc,
-               sqrt(o_totalprice) / 15 - 15 AS temp_c, o_orderkey AS tiebreak
-        FROM (SELECT *, o_orderkey % 9600 AS h FROM orders)""",
+        SELECT TIMESTAMP '2016-01-01 00:00:00' + to_hours(CAST(h AS INTEGER)) AS datetime_utc,
+               12 - 13 * cos(2 * pi() * (h - 360) / 8766) + 4 * sin(2 * pi() * (h % 24 - 14) / 24)
+                 + sqrt(o_totalprice) / 45 - 5 AS temp_c, o_orderkey AS tiebreak
+        FROM (SELECT *, o_orderkey % 9600 + (o_orderkey % 9600) // 36 AS h FROM orders)""",
     "by_wall": "SELECT series, wall, avg(load) AS load, count(*) AS n_rows FROM raw_load GROUP BY ALL",
     "zoned": f"""
         SELECT *, (wall AT TIME ZONE {NY}) AT TIME ZONE 'UTC' AS u0 FROM by_wall""",
@@ -439,6 +439,27 @@ oracle("d13_holdout", f"""
     FROM (SELECT series, lead, ts, count(*) OVER (PARTITION BY series, lead) AS n,
                  row_number() OVER (PARTITION BY series, lead ORDER BY ts DESC) AS r
           FROM features WHERE bad_day = 0 AND {_PRESENT})""")
+CTES["lead_rows"] = f"""
+    SELECT f.series, fold, lead, count(*) AS n
+    FROM folds d JOIN features f ON f.series = d.series AND f.ts <= d.cutoff WHERE bad_day = 0 AND {_PRESENT} GROUP BY ALL"""
+oracle("d12_training_sizes", """
+    SELECT r.series, r.fold, r.lead, d.cutoff + to_hours(CAST(r.lead AS INTEGER)) AS ts,
+           CAST(n - v AS INTEGER) AS n_train, CAST(v AS INTEGER) AS n_valid
+    FROM (SELECT *, CASE WHEN least(90, n // 5) >= 10 THEN least(90, n // 5) ELSE 0 END AS v FROM lead_rows) r
+    JOIN folds d ON d.series = r.series AND d.fold = r.fold""")
+oracle("a10_artifact_round_trip", f"""
+    SELECT series, 2 AS artifact_version, 'lgbm' AS model, trained_through, 42 AS seed, n_models, n_train, n_valid, history_rows
+    FROM (SELECT series, max(ts) AS trained_through, count(*) AS history_rows FROM clean GROUP BY 1)
+    JOIN (SELECT series, count(*) AS n_models, CAST(sum(n - v) AS BIGINT) AS n_train, CAST(sum(v) AS BIGINT) AS n_valid
+          FROM (SELECT series, lead, count(*) AS n, CASE WHEN least(90, count(*) // 5) >= 10 THEN least(90, count(*) // 5) ELSE 0 END AS v
+                FROM features WHERE bad_day = 0 AND {_PRESENT} GROUP BY ALL) GROUP BY 1) USING (series)""")
+oracle("d24_forecast_replay", """
+    SELECT f.series, model, count(*) AS n_hours, 0::BIGINT AS moved_hours
+    FROM (SELECT series, max(target_date) AS op_date FROM folds GROUP BY 1) d JOIN features f ON f.series = d.series AND f.op_date = d.op_date
+    CROSS JOIN (SELECT unnest(['naive', 'snaive', 'prophet', 'lgbm']) AS model) GROUP BY ALL""")
+oracle("d25_permutation", f"""
+    SELECT series, count(y) AS n, round(sum(y), 3) AS sum_y, {_r('min_y', 'max_y')}
+    FROM (SELECT *, min(y) OVER (PARTITION BY series) AS min_y, max(y) OVER (PARTITION BY series) AS max_y FROM features) GROUP BY series, min_y, max_y""")
 CTES["cut_marks"] = """
     SELECT DISTINCT series, m FROM (SELECT series, cutoff AS m FROM folds
       UNION ALL SELECT series, cutoff - to_hours(17532) - INTERVAL 1 MICROSECOND FROM folds)"""
