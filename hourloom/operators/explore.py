@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hourloom.config import DEFAULTS, FLAGS, KEYS, Settings
 from hourloom.functions import timeline as tl
+from hourloom.functions.quantiles import exact_quantiles
 from hourloom.operators.features import with_halo
 from hourloom.operators.regression import key_ddl
 
@@ -112,14 +113,14 @@ def hexagon_density(clean: DataFrame, gridsize: int = 55, keys=KEYS) -> DataFram
     )
 
 
-def temperature_bins(clean: DataFrame, keys=KEYS) -> DataFrame:
+def temperature_bins(clean: DataFrame, keys=KEYS, **options) -> DataFrame:
     """Median load per 2-degree bin over (-20, 40], closed on the right; empty bins are absent."""
+    keys = list(keys)
     cell = F.ceil((F.col("temp_c") + 20) / 2).cast("int")
-    return (
-        clean.where((F.col("temp_c") > -20) & (F.col("temp_c") <= 40))
-        .groupBy(*keys, (cell * 2 - 21).cast("double").alias("mid_c"))
-        .agg(F.median("load").alias("median_load"), F.count(F.lit(1)).alias("n"))
-    )
+    inside = clean.where((F.col("temp_c") > -20) & (F.col("temp_c") <= 40)).select(
+        *keys, (cell * 2 - 21).cast("double").alias("mid_c"), "load")
+    medians = exact_quantiles(inside, [*keys, "mid_c"], "load", [0.5], **options).withColumnRenamed("q0", "median_load")
+    return inside.groupBy(*keys, "mid_c").agg(F.count(F.lit(1)).alias("n")).join(medians, [*keys, "mid_c"], "left")
 
 
 # ------------------------------------------------------------------------ autocorrelation
@@ -202,11 +203,8 @@ def pacf(
 
 # ------------------------------------------------------------------------ summaries
 
-def describe(clean: DataFrame, keys=KEYS) -> DataFrame:
-    """Count, mean, standard deviation, exact quartiles and range of load and temperature.
-
-    A series has at most 8,784 rows a year, which bounds what a percentile state holds.
-    """
+def describe(clean: DataFrame, keys=KEYS, **options) -> DataFrame:
+    """Count, mean, standard deviation, exact quartiles and range of load and temperature."""
     keys = list(keys)
     long = clean.select(
         *keys,
@@ -217,22 +215,12 @@ def describe(clean: DataFrame, keys=KEYS) -> DataFrame:
             )
         ),
     )
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (
-        long.groupBy(*keys, "variable")
-        .agg(
-            F.count("v").alias("count"),
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("std"),
-            F.min("v").alias("min"),
-            q.alias("q"),
-            F.max("v").alias("max"),
-        )
-        .select(
-            *keys, "variable", "count", "mean", "std", "min",
-            F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max",
-        )
-    )
+    group = [*keys, "variable"]
+    moments = long.groupBy(*group).agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    quartiles = exact_quantiles(long, group, "v", [0.25, 0.5, 0.75], **options)
+    return moments.join(quartiles, group, "left").select(
+        *group, "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
 
 
 def flag_shares(clean: DataFrame, keys=KEYS) -> DataFrame:

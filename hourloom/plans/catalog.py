@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ class Stages:
 
     @property
     def weather(self):
-        return C.first_weather(adapter.raw_weather(self.spark, self.sf_dir), "tiebreak")
+        return self._stage("weather", lambda: C.first_weather(adapter.raw_weather(self.spark, self.sf_dir), "tiebreak"))
 
     @property
     def hourly(self):
@@ -289,6 +290,16 @@ def _(s):
 
 simple("c20_masked_target", lambda s: FE.masked_target(s.features).select(*KEYS, "ts", "y"))
 simple("c21_capped_window", lambda s: FO.capped_training_stats(s.features, s.folds, 0.5))
+
+
+@query("c21_default_windows")
+def _(s):
+    """The training rows of every fold under each model's own cap, and without one."""
+    caps = {"sarima": DEFAULTS.sarima_years, "prophet": DEFAULTS.prophet_years, "lstm": DEFAULTS.lstm_years, "lgbm": None}
+    return reduce(DataFrame.unionByName, [
+        FO.capped_training_stats(s.features, s.folds, years).withColumn("model", F.lit(model)) for model, years in caps.items()])
+
+
 simple("c22_standardisation", lambda s: R.standardisation(s.features, s.folds, 0.75))
 
 # ---------------------------------------------------------------- folds and backtest
@@ -300,12 +311,7 @@ simple("d5_dense_folds", lambda s: FO.make_folds(s.features, DEFAULTS.dense_fold
 simple("d6_fold_invariants", lambda s: FO.fold_violations(s.features, s.folds))
 simple(
     "d7_training_slice",
-    lambda s: rounded(
-        FO.training_slice(s.features.select(*KEYS, "ts", "y"), s.folds)
-        .groupBy(*KEYS, "fold")
-        .agg(F.count(F.lit(1)).alias("n_train"), F.max("ts").alias("last_ts"), F.sum("y").alias("sum_y")),
-        3,
-    ),
+    lambda s: rounded(FO.training_stats(s.features, s.folds).select(*KEYS, "fold", "n_train", "last_ts", "sum_y"), 3),
 )
 simple(
     "d8_target_slice",
