@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from hourloom.config import DEFAULTS, KEYS, Settings
 from hourloom.functions import timeline as tl
 from hourloom.operators import folds as fo
-from hourloom.operators.features import window_start, with_halo
+from hourloom.operators.features import SEQUENCE_INPUTS, window_start, with_halo
 
 
 def fold_segments(folds: DataFrame, years: float, keys=KEYS) -> DataFrame:
@@ -108,7 +108,8 @@ def key_ddl(df: DataFrame, keys) -> str:
 
 
 def solve_folds(moments: DataFrame, segments: DataFrame, blocks, solve, keys=KEYS) -> DataFrame:
-    """Add up each fold's segments and solve; `solve` maps matrices to a coefficient vector.
+    """Add up each fold's segments and solve; `solve` maps matrices, and the fold's window as a
+    (start, cutoff) pair, to a coefficient vector.
 
     A group holds one series' partial matrices: segments are two per fold at most, so its size
     follows the number of folds and not the length of the series.
@@ -120,7 +121,7 @@ def solve_folds(moments: DataFrame, segments: DataFrame, blocks, solve, keys=KEY
     def fit(mom, seg):
         if mom.empty or seg.empty:
             return pd.DataFrame(columns=[*keys, "fold", "coef"])
-        ranges = seg.iloc[0]["ranges"]
+        ranges, cuts = seg.iloc[0]["ranges"], seg.iloc[0]["cuts"]
         top = max(r["hi"] for r in ranges) + 1
         table = np.zeros((top, sum(widths)))
         where = mom["seg"].to_numpy()
@@ -132,7 +133,7 @@ def solve_folds(moments: DataFrame, segments: DataFrame, blocks, solve, keys=KEY
             for n, w in zip(sizes, widths):
                 mats.append(_square(flat[at : at + w], n))
                 at += w
-            out.append((*[seg.iloc[0][k] for k in keys], int(r["fold"]), solve(*mats)))
+            out.append((*[seg.iloc[0][k] for k in keys], int(r["fold"]), solve(*mats, (cuts[r["lo"] - 1], cuts[r["hi"] - 1]))))
         return pd.DataFrame(out, columns=[*keys, "fold", "coef"])
 
     return (
@@ -175,7 +176,7 @@ def _one_hour_back() -> np.ndarray:
     return turn
 
 
-def solve_harmonic(level: np.ndarray, lagged: np.ndarray) -> np.ndarray:
+def solve_harmonic(level: np.ndarray, lagged: np.ndarray, window=None) -> np.ndarray:
     """Coefficients, then the two autoregressive ones from the residual moments."""
     beta = ridge(level, np.full(_X, 1e-8))
     turn = _one_hour_back()
@@ -293,68 +294,86 @@ def harmonic_forecast(
 
 # ------------------------------------------------- additive trend, seasons and holidays
 
-# Harmonics of the yearly, weekly and daily cycle, and trend hinges (quarter years
-# back from the last cutoff).
+# Harmonics of the yearly, weekly and daily cycle, and how far apart the trend may bend.
 YEARLY, WEEKLY, DAILY = (365.25, 10), (7.0, 3), (1.0, 4)
-HINGES = 12
+HINGES_A_YEAR = 4
+TREND_ORIGIN = "TIMESTAMP_NTZ '2000-01-01 00:00:00'"
 
 
-def additive_regressors(ts, anchor):
-    """Intercept, hinged trend in years from the anchor, three cycles, one dummy per holiday."""
+def trend_years(ts):
+    return tl.hours_between(F.expr(TREND_ORIGIN), ts) / F.lit(24 * 365.25)
+
+
+def calendar_hinges(folds: DataFrame, years: float) -> list[float]:
+    """The bends, in years since the origin, that may lie inside some fold's window: at fixed calendar dates, so that a
+    fold's bends don't depend on the other folds."""
+    first, last = folds.agg(F.min(trend_years(window_start(F.col("cutoff"), years))), F.max(trend_years(F.col("cutoff")))).first()
+    if first is None:
+        return []
+    return [k / HINGES_A_YEAR for k in range(int(np.ceil(first * HINGES_A_YEAR)), int(np.floor(last * HINGES_A_YEAR)) + 1)]
+
+
+def additive_regressors(ts, hinges: list[float]):
+    """Intercept, trend in years with a bend at each hinge, three cycles, one dummy per holiday."""
     hours = tl.hours_between(F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts)
-    t = tl.hours_between(anchor, ts) / F.lit(24 * 365.25)
-    hinges = [F.greatest(t + F.lit(j / 4), F.lit(0.0)) for j in range(1, HINGES + 1)]
+    t = trend_years(ts)
+    bends = [F.greatest(t - F.lit(k), F.lit(0.0)) for k in hinges]
     waves = []
     for period, order in (YEARLY, WEEKLY, DAILY):
         for k in range(1, order + 1):
             turn = F.pmod(hours * F.lit(k) / F.lit(24.0 * period), F.lit(1.0)) * F.lit(2 * np.pi)
             waves += [F.sin(turn), F.cos(turn)]
     days = [F.coalesce(h.cast("double"), F.lit(0.0)) for h in tl.us_holidays(F.to_date(ts)).values()]
-    return F.array(F.lit(1.0), t, *hinges, *waves, *days)
+    return F.array(F.lit(1.0), t, *bends, *waves, *days)
 
 
-_N_ADD = 2 + HINGES + 2 * (YEARLY[1] + WEEKLY[1] + DAILY[1]) + 11
-_ADDITIVE_BLOCKS = [list(range(_N_ADD + 1))]
+_N_SEASONS = 2 * (YEARLY[1] + WEEKLY[1] + DAILY[1]) + 11
 
 
-def solve_additive(gram: np.ndarray) -> np.ndarray:
+def solve_additive(gram: np.ndarray, window, hinges: list[float]) -> np.ndarray:
+    """Coefficients of one fold. Bends at or outside the ends of its window are no inputs of it: before, they would repeat
+    the trend, and after, nothing is known of them. The trend is solved in years before the cutoff, where it is small."""
+    n, knots = len(gram) - 1, np.array(hinges)
+    origin = np.datetime64("2000-01-01T00:00:00")
+    start, end = ((np.datetime64(w) - origin) / np.timedelta64(1, "s") / (86400 * 365.25) for w in window)
+    inside = np.concatenate([[True, True], (knots > start) & (knots < end), np.ones(_N_SEASONS, dtype=bool), [True]])
+    shift = np.eye(n + 1)
+    shift[0, 1] = -end  # trend input less the cutoff's, as a mix of trend and intercept
+    moved = (shift.T @ gram @ shift)[np.ix_(inside, inside)]
     # Loose priors on level and seasons, a tight one on changes of slope.
-    penalty = np.full(_N_ADD, 1e-3)
-    penalty[2 : 2 + HINGES] = 4.0
-    return ridge(gram, penalty)
+    penalty = np.full(n, 1e-3)
+    penalty[2 : 2 + len(knots)] = 4.0
+    out = np.zeros(n + 1)
+    out[inside] = [*ridge(moved, penalty[inside[:-1]]), 0.0]
+    return (shift @ out)[:-1]
 
 
 def additive_fit(
-    features: DataFrame, folds: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS
+    features: DataFrame, folds: DataFrame, hinges: list[float], keys=KEYS, cfg: Settings = DEFAULTS
 ) -> DataFrame:
     """Per fold: coefficients of the additive model over its capped window, bad days dropped."""
     keys = list(keys)
     segments = fold_segments(folds, cfg.prophet_years, keys)
-    anchored = segments.select(*keys, F.element_at("cuts", -1).alias("anchor"))
-    known = features.where((F.col("bad_day") == 0) & F.col("y").isNotNull()).select(*keys, "ts", "y")
-    # One join brings both the cuts and the anchor.
-    rows = tl.join_series(known, anchored.join(segments.select(*keys, "cuts"), keys), keys, cfg).select(
-        *keys,
-        "ts",
-        "cuts",
-        F.concat(additive_regressors(F.col("ts"), F.col("anchor")), F.array("y")).alias("z"),
-    )
-    moments = segment_moments(rows, segments, _ADDITIVE_BLOCKS, keys)
-    solved = solve_folds(moments, segments, _ADDITIVE_BLOCKS, solve_additive, keys)
-    return solved.join(anchored, keys)
+    known = features.where((F.col("bad_day") == 0) & F.col("y").isNotNull())
+    rows = known.select(*keys, "ts", F.concat(additive_regressors(F.col("ts"), hinges), F.array("y")).alias("z"))
+    blocks = [list(range(2 + len(hinges) + _N_SEASONS + 1))]
+    moments = segment_moments(rows, segments, blocks, keys)
+    return solve_folds(moments, segments, blocks, lambda gram, window: solve_additive(gram, window, hinges), keys)
 
 
 def additive_forecast(
     features: DataFrame, folds: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS
 ) -> DataFrame:
+    """Trend with bends at calendar dates, seasons and holidays; each fold from its own window alone."""
     keys = list(keys)
-    fit = additive_fit(features, folds, keys, cfg)
+    hinges = calendar_hinges(folds, cfg.prophet_years)
+    fit = additive_fit(features, folds, hinges, keys, cfg)
     hours = fo.fold_targets(folds, keys, cfg).select(*keys, "fold", "ts")
     return hours.join(fit, [*keys, "fold"]).select(
         *keys,
         "fold",
         "ts",
-        dot(additive_regressors(F.col("ts"), F.col("anchor")), F.col("coef")).alias("y_pred"),
+        dot(additive_regressors(F.col("ts"), hinges), F.col("coef")).alias("y_pred"),
     )
 
 
@@ -395,14 +414,11 @@ def standardisation(
     Days are summed per segment between fold boundaries; running totals over the few segments
     then serve every fold, so history is read once and not once per fold.
     """
-    from hourloom.operators.features import sequence_windows
+    from hourloom.operators.features import sequence_days
 
     keys = list(keys)
     years = cfg.lstm_years if years is None else years
     # A day trains a fold if its week of history starts inside the window and it ends by the cutoff.
-    days = sequence_windows(features, keys, cfg).withColumn(
-        "ts", tl.midnight(F.col("op_date")) + tl.hours(cfg.op_day_offset_h - 168)
-    )
     shifted = folds.withColumn("cutoff", F.col("cutoff") - tl.hours(168 + cfg.horizon - 1))
     start_mark = window_start(F.col("cutoff") + tl.hours(168 + cfg.horizon - 1), years)
     marks = shifted.withColumn("start_mark", start_mark - F.expr("INTERVAL '0.000001' SECOND"))
@@ -411,20 +427,17 @@ def standardisation(
             F.array_distinct(F.concat(F.collect_set("cutoff"), F.collect_set("start_mark")))
         ).alias("cuts")
     )
-    values = F.concat(F.array(F.lit(None).cast("double")), F.col("exog"))
-    tagged = days.join(cuts, keys).select(
-        *keys, F.size(F.filter("cuts", lambda c: c < F.col("ts"))).alias("seg"), "target",
-        F.posexplode(values).alias("pos", "x"),
-    )
-    total = F.lit(0.0)
-    is_y = F.col("pos") == 0
-    sums = tagged.groupBy(*keys, "pos", "seg").agg(
-        F.sum(F.when(is_y, F.size("target")).otherwise(1)).alias("n"),
-        F.sum(F.when(is_y, F.aggregate("target", total, lambda a, v: a + v)).otherwise(F.col("x"))).alias("s"),
-        F.sum(
-            F.when(is_y, F.aggregate("target", total, lambda a, v: a + v * v)).otherwise(F.col("x") ** 2)
-        ).alias("q"),
-    )
+    week_start = tl.midnight(F.col("op_date")) + tl.hours(cfg.op_day_offset_h - 168)
+    days = tl.join_series(sequence_days(features, keys, cfg).withColumn("ts", week_start), cuts, keys, cfg).select(
+        *keys, "op_date", F.size(F.filter("cuts", lambda c: c < F.col("ts"))).alias("seg"))
+    # Sums per segment and lead straight from the hours; one row of them holds seven positions.
+    values = {0: F.col("y"), **{i: F.col(c).cast("double") for i, c in enumerate(SEQUENCE_INPUTS, 1)}}
+    by_lead = features.join(days, [*keys, "op_date"]).groupBy(*keys, "seg", "lead").agg(
+        F.count("y").alias("n"), *[f.alias(f"{c}{i}") for i, v in values.items() for c, f in (("s", F.sum(v)), ("q", F.sum(v * v)))])
+    place = {i: F.lit(0) if i == 0 else len(SEQUENCE_INPUTS) * (F.col("lead") - 1) + i for i in values}
+    stacked = by_lead.select(*keys, "seg", F.inline(F.array(*[
+        F.struct(place[i].cast("int").alias("pos"), F.col("n"), F.col(f"s{i}").alias("s"), F.col(f"q{i}").alias("q")) for i in values])))
+    sums = stacked.groupBy(*keys, "pos", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
     # Every (position, segment), so that running totals can be read at any boundary.
     dense = cuts.select(
         *keys, F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("seg"),

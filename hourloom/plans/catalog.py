@@ -282,9 +282,9 @@ def _(s):
         F.size("sequence").alias("n_sequence"),
         F.size("exog").alias("n_exog"),
         F.size("target").alias("n_target"),
-        weighted("sequence", 3).alias("sequence_sum"),
+        weighted("sequence", 1).alias("sequence_sum"),
         weighted("exog", 6).alias("exog_sum"),
-        weighted("target", 3).alias("target_sum"),
+        weighted("target", 1).alias("target_sum"),
     )
 
 

@@ -387,13 +387,17 @@ CTES["seq_target"] = """
     FROM seq_days d JOIN features f ON f.series = d.series AND f.op_date = d.op_date GROUP BY ALL"""
 oracle("c19_sequence_windows", """
     SELECT series, op_date, CAST(168 AS INTEGER) AS n_sequence, CAST(144 AS INTEGER) AS n_exog, CAST(24 AS INTEGER) AS n_target,
-           round(s, 3) + 0.0 AS sequence_sum, round(e, 6) + 0.0 AS exog_sum, round(t, 3) + 0.0 AS target_sum
+           round(s, 1) + 0.0 AS sequence_sum, round(e, 6) + 0.0 AS exog_sum, round(t, 1) + 0.0 AS target_sum
     FROM seq_history JOIN seq_target USING (series, op_date) WHERE n = 168""")
 oracle("c20_masked_target", "SELECT series, ts, CASE WHEN bad_day = 0 THEN round(y, 6) + 0.0 END AS y FROM features")
 oracle("c21_capped_window", """
     SELECT d.series, fold, CAST(count(*) AS BIGINT) AS n_train, CAST(count(*) FILTER (bad_day = 0) AS BIGINT) AS n_known
     FROM folds d JOIN features f ON f.series = d.series AND f.ts <= cutoff AND f.ts >= cutoff - to_hours(4383)
     GROUP BY ALL""")
+oracle("c21_default_windows", " UNION ALL ".join(f"""
+    SELECT d.series, fold, '{_m}' AS model, CAST(count(*) AS BIGINT) AS n_train, CAST(count(*) FILTER (bad_day = 0) AS BIGINT) AS n_known
+    FROM folds d JOIN features f ON f.series = d.series AND f.ts <= cutoff AND f.ts >= cutoff - to_hours({_h})
+    GROUP BY ALL""" for _m, _h in (("sarima", 17532), ("prophet", 26298), ("lstm", 52596), ("lgbm", 24 * 36525))))
 CTES["seq_fold_days"] = """
     SELECT d.series, d.fold, s.op_date, s.first FROM folds d
     JOIN (SELECT * FROM seq_days JOIN seq_history USING (series, op_date) WHERE n = 168) s

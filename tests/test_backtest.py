@@ -13,6 +13,7 @@ from fixture_values import CFG
 from hourloom import Settings, materialize
 from hourloom.config import FEATURES
 from hourloom.functions import timeline as tl
+from hourloom.operators import boosting as B
 from hourloom.operators import folds as FO
 from hourloom.operators import forecasters as FC
 from hourloom.operators import metrics as M
@@ -69,7 +70,7 @@ def test_skipped_candidates_are_not_replaced(features):
 
 def test_no_eligible_day_is_an_error(features):
     with pytest.raises(ValueError, match="eligibility"):
-        FO.require_folds(FO.make_folds(features.withColumn("bad_day", F.lit(1).cast("bigint"))))
+        FO.make_folds(features.withColumn("bad_day", F.lit(1).cast("bigint")))
 
 
 def test_capped_window_equals_a_slice(features, fold_table):
@@ -169,21 +170,45 @@ def test_unstable_recursion_is_pulled_inside_the_unit_circle():
     assert np.abs(roots).max() < 1
 
 
+def additive_by_hand(design, start, cutoff, hinges):
+    """Ridge on the rows of one window with the bends strictly inside it; the trend counts from the cutoff."""
+    origin = pd.Timestamp("2000-01-01")
+    begin, end = ((t - origin).total_seconds() / (86400 * 365.25) for t in (start, cutoff))
+    w = design[(design.ts >= start) & (design.ts <= cutoff) & (design.bad_day == 0)]
+    keep = [0, 1, *(2 + i for i, k in enumerate(hinges) if begin < k < end), *range(2 + len(hinges), len(design.x.iloc[0]))]
+
+    def x(frame):
+        out = np.stack(frame.x.to_numpy())[:, keep]
+        out[:, 1] -= end
+        return out
+
+    penalty = np.array([4.0 if 2 <= c < 2 + len(hinges) else 1e-3 for c in keep])
+    a, y = x(w), w.y.to_numpy()
+    beta = np.linalg.solve(a.T @ a + np.diag(penalty), a.T @ y)
+    return lambda frame: x(frame) @ beta
+
+
 def test_additive_forecast_equals_a_direct_ridge(spark, features, fold_table):
     cfg = Settings(prophet_years=0.75)
     got = R.additive_forecast(features, fold_table, cfg=cfg)
-    fold = fold_table.where("fold = 5 AND series = 'a'").first()
-    anchor = F.lit(fold_table.agg(F.max("cutoff")).first()[0]).cast("timestamp_ntz")
+    hinges = R.calendar_hinges(fold_table, 0.75)
     design = features.where("series = 'a'").select(
-        "ts", "y", "bad_day", R.additive_regressors(F.col("ts"), anchor).alias("x")
+        "ts", "y", "bad_day", R.additive_regressors(F.col("ts"), hinges).alias("x")
     ).toPandas().sort_values("ts")
-    start = fold["cutoff"] - pd.Timedelta(days=365.25 * 0.75)
-    w = design[(design.ts >= start) & (design.ts <= fold["cutoff"]) & (design.bad_day == 0)]
-    x, y = np.stack(w.x.to_numpy()), w.y.to_numpy()
-    beta = R.solve_additive(np.column_stack([x, y]).T @ np.column_stack([x, y]))
-    p = got.where("fold = 5 AND series = 'a'").toPandas().merge(design, on="ts")
-    np.testing.assert_allclose(p.y_pred, np.stack(p.x.to_numpy()) @ beta, rtol=1e-6)
-    assert R._N_ADD == x.shape[1]
+    for fold in fold_table.where("fold IN (1, 5, 12) AND series = 'a'").collect():
+        start = fold["cutoff"] - pd.Timedelta(days=365.25 * 0.75)
+        p = got.where(f"fold = {fold['fold']} AND series = 'a'").toPandas().merge(design, on="ts")
+        np.testing.assert_allclose(p.y_pred, additive_by_hand(design, start, fold["cutoff"], hinges)(p), rtol=1e-6)
+
+
+@pytest.mark.parametrize("model", ["sarima", "prophet"])
+def test_a_fold_alone_equals_the_fold_among_others(features, fold_table, model):
+    cfg = Settings(prophet_years=0.75, sarima_years=0.75)
+    alone = FC.REGISTRY[model](features, fold_table.where("fold = 3"), ("series",), cfg).toPandas()
+    among = FC.REGISTRY[model](features, fold_table, ("series",), cfg).where("fold = 3").toPandas()
+    both = alone.merge(among, on=["series", "fold", "ts"])
+    assert len(both) == 48
+    np.testing.assert_allclose(both.y_pred_x, both.y_pred_y, rtol=1e-9)
 
 
 def test_regressions_follow_the_seasonal_shape(results):
@@ -193,7 +218,7 @@ def test_regressions_follow_the_seasonal_shape(results):
         assert pdf[series, "sarima"] < 0.05 and pdf[series, "prophet"] < 0.05
 
 
-def test_tree_holdout_and_forecast(features, fold_table):
+def test_tree_holdout_and_forecast(features, features_pdf, fold_table):
     last = fold_table.where("fold = 12")
     split = TR.holdout_split(features.where("lead = 3")).groupBy("series").agg(
         F.count_if("is_validation").alias("v"), F.max(F.when(~F.col("is_validation"), F.col("ts"))).alias("t"),
@@ -201,12 +226,107 @@ def test_tree_holdout_and_forecast(features, fold_table):
     ).toPandas()
     assert (split.v == 90).all() and (split.t < split.s).all()
     small = {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3}
-    made = TR.tree_forecast(features, last, params=small, leads=[1, 24], threads=8)
+    made = TR.tree_forecast(features, last, params=small, leads=[1, 24])
     rows = FC.results_frame(made, features, last, "lgbm").where("lead IN (1, 24)").toPandas()
     assert len(rows) == 4 and rows.y_pred.notna().all()
     assert (abs(rows.y_pred - rows.y_true) / rows.y_true < 0.2).all()
 
 
+def test_every_fold_is_fit_on_its_own_past(features, features_pdf, fold_table):
+    some = fold_table.where("fold IN (1, 6, 7)")
+    got = TR.fold_fits(features, some, leads=[5], params={"maxIter": 60}).toPandas()
+    assert sorted(zip(got.series, got.fold)) == [(s, f) for s in "ab" for f in (1, 6, 7)]
+    settings = {**TR.PARAMS, "maxIter": 60, "seed": 42}
+    x = list(FEATURES)
+    for row in got.itertuples():
+        own = features_pdf[(features_pdf.series == row.series) & (features_pdf.lead == 5)].sort_values("ts")
+        past = own[(own.ts < row.ts) & (own.bad_day == 0) & own[x].notna().all(axis=1)]
+        held = TR.n_validation(len(past))
+        assert (row.n_train, row.n_valid) == (len(past) - held, held)
+        model = B.fit(past[x].to_numpy(float), past.y.to_numpy(float), held, settings)
+        assert row.rounds == model.rounds
+        assert row.y_pred == pytest.approx(model.predict(own[own.ts == row.ts][x].to_numpy(float))[0])
+
+
+def test_the_shipped_settings_beat_both_baselines(features, fold_table, results):
+    """All 24 leads of a fold, 600 rounds at most, as they stand."""
+    last = fold_table.where("fold = 12")
+    assert TR.PARAMS["maxIter"] == 600 and TR.PARAMS["patience"] == 50
+    fits = TR.tree_forecast(features, last)
+    made = FC.results_frame(FC.guard_forecasts(fits, features, last), features, last, "lgbm")
+    base = results.where("fold = 12 AND model IN ('naive', 'snaive')")
+    mape = made.unionByName(base.select(*made.columns)).groupBy("model").agg(M.mape().alias("m")).toPandas().set_index("model").m
+    assert made.count() == 48 and mape["lgbm"] < mape["naive"] and mape["lgbm"] < mape["snaive"]
+
+
+def series_of_rows(seed=0, n=300, p=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, p))
+    return x, 3 * x[:, 0] + np.abs(x[:, 1]) + rng.normal(size=n) * 0.5
+
+
+@pytest.mark.parametrize("patience", [1, 5, 50])
+def test_rounds_kept_equal_a_plain_loop(patience):
+    """A fit of all rounds has the same first trees; the best round before `patience` rounds without gain is kept."""
+    x, y = series_of_rows()
+    settings = {**TR.PARAMS, "maxIter": 150, "stepSize": 0.3, "seed": 1}
+    full = B.fit(x[:240], y[:240], 0, settings)
+    assert full.rounds == 150
+    errors = []
+    for k in range(1, 151):
+        first = B.Ensemble(full.base, full.feature[:k], full.threshold[:k], full.missing_left[:k], full.value[:k], full.gain)
+        errors.append(np.abs(first.predict(x[240:]) - y[240:]).mean())
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    got = B.fit(x, y, 60, {**settings, "patience": patience})
+    assert got.rounds == best + 1
+    np.testing.assert_allclose(got.value, full.value[: best + 1])
+
+
+def best_split_by_hand(x, y, least):
+    """(gain, input, threshold) over all inputs and all cuts between neighbouring values."""
+    top = (0.0, None, None)
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        for a, b in zip(values, values[1:]):
+            left = x[:, f] <= (a + b) / 2
+            if min(left.sum(), (~left).sum()) < least:
+                continue
+            gain = sum(y[m].sum() ** 2 / m.sum() for m in (left, ~left)) - y.sum() ** 2 / len(y)
+            top = max(top, (gain, f, (a + b) / 2), key=lambda t: t[0])
+    return top
+
+
+def test_a_tree_takes_the_best_split():
+    x, y = series_of_rows(n=60)
+    whole = {**TR.PARAMS, "maxIter": 1, "maxDepth": 1, "subsamplingRate": 1.0, "featureSubsetStrategy": "1.0", "stepSize": 1.0, "seed": 1}
+    tree = B.fit(x, y, 0, whole)
+    gain, f, cut = best_split_by_hand(x, y - y.mean(), 20)
+    assert tree.feature[0, 0] == f and tree.threshold[0, 0] == pytest.approx(cut) and tree.gain[f] == pytest.approx(gain)
+    left = x[:, f] <= cut
+    np.testing.assert_allclose(tree.predict(x), np.where(left, y[left].mean(), y[~left].mean()))
+
+
+def test_missing_values_go_where_training_sent_them():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 2))
+    y = np.where(x[:, 0] > 0, 10.0, 0.0) + rng.normal(size=400) * 0.1
+    gone = rng.random(400) < 0.3
+    y[gone] = 10.0  # missing rows behave like the right side
+    x[gone, 0] = np.nan
+    settings = {**TR.PARAMS, "maxIter": 40, "stepSize": 0.5, "seed": 1, "featureSubsetStrategy": "1.0"}
+    model = B.fit(x, y, 0, settings)
+    assert model.predict(np.array([[np.nan, 0.0]]))[0] == pytest.approx(10, abs=0.3)
+    assert not model.missing_left[0, 0]
+    x[gone, 0], y[gone] = 5.0, 10.0  # none missing in training: with the larger side
+    model = B.fit(x, y, 0, settings)
+    assert model.predict(np.array([[np.nan, 0.0]]))[0] == pytest.approx(10, abs=0.3)
+
+
 # ------------------------------------------------------------------ metrics
 def test_summary_by_hand(results, results_pdf):
     got = M.summarize(results).toPandas().set_index(["series", "model"])

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from fixture_values import CFG
 from hourloom.config import FEATURES
+from hourloom.functions.quantiles import exact_quantiles
 from hourloom.operators import audit as A
 from hourloom.operators import explore as X
 from hourloom.operators import features as FE
 from hourloom.operators import forecasters as FC
 from hourloom.operators import metrics as M
 from hourloom.operators import serving as S
+from hourloom.operators import trees as TR
 from hourloom.plans import pipeline
 from hourloom.sources import readers
 
@@ -44,12 +46,32 @@ def test_past_load_does_reach_features(clean, features, last):
     assert day.join(old, ["series", "ts"]).where("lag_24 <> old").count() > 0
 
 
-def test_permuted_target_keeps_values_and_ruins_accuracy(features, fold_table):
-    shuffled = A.shuffle_target(features)
-    a, b = (t.agg(F.count("*").alias("n"), F.round(F.sum("y"), 2).alias("s")).first() for t in (features, shuffled))
-    assert a["n"] == b["n"] and a["s"] == pytest.approx(b["s"])
-    got = A.shuffled_target_check(features, fold_table, FC.REGISTRY["prophet"], cfg=CFG).toPandas()
-    assert (got.mape_shuffled > 2 * got.mape).all()
+def test_permuted_target_keeps_values_over_the_whole_history(features):
+    shuffled = A.shuffle_target(features).select("series", "ts", F.col("y").alias("z"))
+    got = features.join(shuffled, ["series", "ts"]).toPandas()
+    assert len(got) == features.count()
+    for _, p in got.groupby("series"):
+        assert sorted(p.y) == sorted(p.z)
+        assert abs(np.corrcoef(p.y, p.z)[0, 1]) < 0.05
+        order = p.sort_values("ts")
+        months = order.ts.dt.to_period("Q").nunique()
+        where = {v: k for k, v in enumerate(order.y)}
+        moved = np.array([where[v] for v in order.z]) - np.arange(len(order))
+        assert np.abs(moved).mean() > len(order) / 4 and months > 4  # values travel over quarters
+
+
+def test_permuted_target_ruins_accuracy(features, last):
+    got = A.shuffled_target_check(features, last, {m: FC.REGISTRY[m] for m in ("prophet", "lgbm")}).toPandas()
+    assert len(got) == 4 and (got.mape_shuffled > 2 * got.mape).all()
+
+
+def test_forecasts_do_not_move_with_the_future(clean, features, last):
+    models = {m: FC.REGISTRY[m] for m in ("naive", "snaive", "prophet", "lgbm")}
+    got = A.forecast_replay(clean, features, last, models).toPandas()
+    assert len(got) == 8 and (got.n_hours == 24).all() and (got.moved_hours == 0).all()
+    early = last.withColumn("cutoff", F.col("cutoff") - F.expr("INTERVAL 30 HOURS"))
+    leaky = A.corrupt_after(clean, early, "load")
+    assert A.forecast_replay(leaky, features, last, {"naive": FC.naive}).where("moved_hours > 0").count() == 2
 
 
 def requests(spark, *dates):
@@ -66,7 +88,7 @@ def test_forecast_answers(spark, clean, features, last):
     assert stamps[0].hour == 5 and (np.diff(stamps) == np.timedelta64(1, "h")).all()
     assert good["predictions"][0]["mw"] == round(good["predictions"][0]["mw"], 1)
     for d in ("1999-01-01", "2016-01-02"):
-        assert got[d]["status"] == 422 and "outside the covered range" in got[d]["detail"]
+        assert got[d]["status"] == 422 and "days with all inputs lie between" in got[d]["detail"]
     for d in ("not-a-date", "2018-13-45"):
         assert got[d]["status"] == 422 and "not a date" in got[d]["detail"]
 
@@ -78,17 +100,58 @@ def test_quarantined_days_stay_servable(features):
     assert str(cover["first_date"]) == min(days) and cover["status"] == "ok"
 
 
-def test_artifact_round_trip(spark, clean, features, last, tmp_path):
-    path = str(tmp_path / "artifact")
-    small = {"maxIter": 2, "maxDepth": 2}
-    S.build_artifact(clean, path, leads=[1, 2], params=small, threads=4)
-    facts, stored, models = S.load_artifact(spark, path)
-    assert sorted(models) == [1, 2] and stored.count() == clean.count()
-    assert facts.where("artifact_version = 1 AND model = 'lgbm'").count() == 2
+@pytest.fixture(scope="module")
+def artifact(clean, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("artifact") / "lgbm")
+    S.build_artifact(clean, path)
+    return path
+
+
+def test_artifact_round_trip(spark, clean, features, last, artifact):
+    facts, stored, models = S.load_artifact(spark, artifact)
+    assert models.count() == 48 and stored.count() == clean.count()
+    assert facts.where("artifact_version = 2 AND model = 'lgbm' AND n_models = 24").count() == 2
     again = FE.build_features(stored)
     a = S.artifact_forecaster(models)(features, last).orderBy("series", "ts").toPandas()
     b = S.artifact_forecaster(models)(again, last).orderBy("series", "ts").toPandas()
     pd.testing.assert_frame_equal(a, b)
+    facts.withColumn("artifact_version", F.lit(1)).write.parquet(f"{artifact}-old/metadata")
+    for part, df in (("clean", stored), ("models", models)):
+        df.limit(1).write.parquet(f"{artifact}-old/{part}")
+    with pytest.raises(ValueError, match="version 1"):
+        S.load_artifact(spark, f"{artifact}-old")
+
+
+def test_importance_is_a_share_per_series(spark, artifact):
+    got = TR.feature_importance(S.load_artifact(spark, artifact)[2]).toPandas()
+    assert len(got) == 2 * len(FEATURES) and np.allclose(got.groupby("series").gain.sum(), 1) and (got.gain >= 0).all()
+
+
+def test_a_day_with_a_missing_input_is_forecast(spark, features, last, artifact):
+    """One weather hour is missing: the day stays servable, and its 24 hours are forecast."""
+    day = str(last.first()["target_date"])
+    gone = (F.col("op_date") == F.lit(day).cast("date")) & (F.col("lead") == 7)
+    holed = features.withColumns({c: F.when(~gone, F.col(c)) for c in ("temp", "hdd", "cdd")})
+    forecaster = S.artifact_forecaster(S.load_artifact(spark, artifact)[2])
+    whole, answer = (S.forecast_dates(requests(spark, day), t, forecaster, "lgbm").first() for t in (features, holed))
+    assert answer["status"] == 200 and len(answer["predictions"]) == 24
+    pairs = list(zip(whole["predictions"], answer["predictions"]))
+    assert all(b["mw"] is not None for _, b in pairs)
+    assert [i for i, (a, b) in enumerate(pairs) if a != b] in ([6], [])
+    assert abs(pairs[6][0]["mw"] - pairs[6][1]["mw"]) < 0.3 * pairs[6][0]["mw"]
+
+
+@pytest.mark.parametrize("limit", [3, 50, 10_000])
+def test_quantiles_equal_numpy(spark, limit):
+    rng = np.random.default_rng(4)
+    groups = {"ties": np.repeat([1.0, 5.0, 5.0, 9.0], 60), "wide": rng.lognormal(0, 8, 700), "one": np.array([2.5]), None: rng.normal(size=33),
+              "same": np.full(90, -3.0), "minus": -np.abs(rng.normal(size=101)), "two": np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 0.9, 1.0], limit=limit, buckets=7).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        np.testing.assert_allclose([got[g][f"q{i}"] for i in range(5)], np.quantile(vs, [0.0, 0.25, 0.5, 0.9, 1.0]), rtol=1e-12)
 
 
 # ------------------------------------------------------------------ sources, sinks, exploration
