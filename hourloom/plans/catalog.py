@@ -439,6 +439,15 @@ simple("e5_mase", lambda s: M.mase(s.results))
 simple("e6_summarize", lambda s: M.summarize(s.results))
 simple("e7_signed_rank", lambda s: M.compare_pairs(M.fold_maes(s.results), _pairs(s)).drop("p_value", "exact"))
 simple("e7_p_values", lambda s: M.compare_pairs(M.fold_maes(s.results), _pairs(s)))
+
+
+@query("e7_exact_p_values")
+def _(s):
+    """Twelve folds: few enough for the exact distribution."""
+    folds = FO.make_folds(s.features, 12)
+    return M.compare_pairs(M.fold_maes(FC.run_backtest(BASELINES, s.features, folds)), _pairs(s))
+
+
 simple("e8_grouped_errors", lambda s: M.grouped_errors(_naive(s), "lead"))
 
 

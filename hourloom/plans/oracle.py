@@ -239,6 +239,9 @@ def render(sql: str) -> str:
     visit(sql)
     # Two tables of the driver share no name with the expressions, so order is all that matters.
     head = ", ".join(f"{c} AS MATERIALIZED ({CTES[c].strip()})" for c in need)
+    own = re.match(r"\s*WITH RECURSIVE\b", sql)
+    if own and need:
+        return f"WITH RECURSIVE {head}, {sql[own.end():]}"
     return f"WITH {head} {sql}" if need else sql
 
 
@@ -536,6 +539,27 @@ oracle("e6_summarize", _SUMMARY)
 oracle("e7_signed_rank", f"""
     SELECT series, model_a, model_b, {_r('mae_a', 'mae_b', 'mean_diff')}, a_wins_folds, n_folds, 0::BIGINT AS unmatched_folds,
            {_r('wilcoxon_stat', 'z')}, abs(z) > 1.959963984540054 AS significant_at_05 FROM comparison""")
+CTES["maes12"] = """
+    SELECT m.* FROM maes m JOIN folds d ON d.series = m.series AND d.fold = m.fold
+    JOIN (SELECT series, max(op_date) AS last FROM eligible GROUP BY 1) e ON e.series = m.series
+    WHERE d.target_date >= e.last - INTERVAL 77 DAY"""
+for _n in ("diffs", "ranked", "signed", "comparison"):
+    CTES[f"{_n}12"] = re.sub(r"\b(maes|diffs|ranked|signed)\b", r"\g<1>12", CTES[_n])
+# The two-sided tail of the normal distribution by Simpson's rule, and of the exact one by counting the sets of ranks with each sum.
+_NORMAL_P = """(SELECT greatest(0, 1 - sqrt(2 / pi()) * abs(z) / 6000 * sum(
+    CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-((i * abs(z) / 2000) ** 2) / 2))) FROM generate_series(0, 2000) g(i))"""
+_EXACT_P = """(SELECT least(1.0, 2 * sum(c) FILTER (s <= wilcoxon_stat) / sum(c)) FROM (
+    WITH RECURSIVE ways AS (
+        SELECT 0 AS k, 0 AS s, 1::DOUBLE AS c
+        UNION ALL SELECT k + 1, s + b * (k + 1), sum(c) FROM ways CROSS JOIN (VALUES (0), (1)) v(b) WHERE k < 12 GROUP BY k, s + b * (k + 1))
+    SELECT * FROM ways) w WHERE w.k = n_folds)"""
+for _n, _t in (("e7_p_values", ""), ("e7_exact_p_values", "12")):
+    oracle(_n, f"""
+        SELECT series, model_a, model_b, {_r('mae_a', 'mae_b', 'mean_diff')}, a_wins_folds, n_folds, 0::BIGINT AS unmatched_folds,
+               {_r('wilcoxon_stat', 'z')}, exact, round(p, 6) + 0.0 AS p_value, p < 0.05 AS significant_at_05
+        FROM (SELECT *, CASE WHEN n = 0 THEN 1.0 WHEN exact THEN {_EXACT_P} ELSE {_NORMAL_P} END AS p
+              FROM (SELECT c.*, coalesce(s.n, 0) AS n, c.n_folds <= 50 AND coalesce(s.tt, 0) = 0 AND coalesce(s.n, 0) = c.n_folds AS exact
+                    FROM comparison{_t} c LEFT JOIN signed{_t} s ON s.series = c.series AND s.model_a = c.model_a AND s.model_b = c.model_b))""")
 oracle("e8_grouped_errors", f"""
     SELECT series, lead, {_r('mape', 'rmse', 'mae')}, n FROM (
       SELECT series, lead, {_ERRORS}, count(*) AS n FROM results WHERE protocol = 'weekly' AND model = 'naive' GROUP BY ALL)""")
@@ -635,6 +659,20 @@ oracle("f7_acf", """
            round(list_inner_product(x[k + 1:], x[:len(x) - k]) / list_inner_product(x, x), 6) + 0.0 AS acf
     FROM centred CROSS JOIN generate_series(0, 200) g(k) WHERE len(x) > 200""")
 
+oracle("f8_pacf", """
+    WITH RECURSIVE cov AS (
+        SELECT series, list(list_inner_product(x[k + 1:], x[:len(x) - k]) / (len(x) - k) ORDER BY k) AS c
+        FROM centred CROSS JOIN generate_series(0, 100) g(k) WHERE len(x) > 100 GROUP BY series
+    ), steps AS (
+        SELECT series, c, 0 AS lag, []::DOUBLE[] AS phi, c[1] AS v, 1.0::DOUBLE AS pacf FROM cov
+        UNION ALL
+        SELECT series, c, lag + 1,
+               list_append(CASE WHEN lag = 0 THEN []::DOUBLE[] ELSE list_transform(list_zip(phi, list_reverse(phi)), lambda z: z[1] - a * z[2]) END, a),
+               v * (1 - a * a), a
+        FROM (SELECT *, (c[lag + 2] - CASE WHEN lag = 0 THEN 0 ELSE list_inner_product(phi, list_reverse(c[2:lag + 1])) END) / v AS a
+              FROM steps WHERE lag < 100)
+    )
+    SELECT series, lag, round(pacf, 6) + 0.0 AS pacf FROM steps""")
 oracle("f9_describe", "\n    UNION ALL ".join(
     f"""SELECT series, '{v}' AS variable, count({v}) AS "count", round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std,
            round(min({v}), 6) AS min, round(quantile_cont({v}, 0.25), 6) AS p25, round(quantile_cont({v}, 0.5), 6) AS p50,
