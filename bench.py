@@ -18,6 +18,8 @@ CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
 
 
 def main() -> None:
+    from pyspark.sql import functions as F
+
     from hourloom import build_session
     from hourloom.operators import cleaning as C
     from hourloom.operators import explore as X
@@ -25,7 +27,9 @@ def main() -> None:
     from hourloom.operators import folds as FO
     from hourloom.operators import forecasters as FC
     from hourloom.operators import metrics as M
+    from hourloom.operators import regression as R
     from hourloom.operators import reports as RP
+    from hourloom.operators import trees as TR
     from hourloom.plans.catalog import Stages
     from hourloom.session import materialize
 
@@ -57,14 +61,14 @@ def main() -> None:
     timed("reconciliation", lambda: drain(C.reconciliation(hourly, annotated)))
     timed("validation", lambda: drain(C.validation_report(clean)))
     features = timed("features", lambda: materialize(FE.build_features(clean), "features"))
-    folds = timed("folds", lambda: materialize(FO.make_folds(features), "folds"))
+    folds = timed("folds", lambda: FO.make_folds(features))
     naive = timed(
         "backtest_baselines",
-        lambda: materialize(FC.run_backtest(["naive", "snaive"], features, folds, guard=False), "results"),
+        lambda: materialize(FC.run_backtest(["naive", "snaive"], features, folds), "results"),
     )
     linear = timed(
         "backtest_regressions",
-        lambda: materialize(FC.run_backtest(["sarima", "prophet"], features, folds, guard=False), "results"),
+        lambda: materialize(FC.run_backtest(["sarima", "prophet"], features, folds), "results"),
     )
     results = naive.unionByName(linear)
     timed("guards", lambda: drain(FC.forecast_violations(linear.where("model = 'sarima'"), features, folds)))
@@ -72,6 +76,12 @@ def main() -> None:
     timed("significance", lambda: drain(RP.significance_table(results)))
     timed("error_tables", lambda: drain(RP.error_tables(naive.where("model = 'naive'"))))
     timed("sequence_windows", lambda: drain(FE.sequence_windows(features)))
+    timed("standardisation", lambda: drain(R.standardisation(features, folds)))
+    timed("describe", lambda: drain(X.describe(clean)))
+    # Every lead of every series at the shipped settings, for the last fold: one fit in 52 of the whole backtest.
+    last = folds.join(folds.groupBy("series").agg(F.max("fold").alias("fold")), ["series", "fold"])
+    store = timed("tree_store", lambda: TR.training_store(features))
+    timed("tree_fits_last_fold", lambda: TR.fold_fits(features, last, store=store))
     timed("acf", lambda: drain(X.acf(clean)))
     timed("decompose", lambda: drain(X.decompose(X.daily_mean(clean))))
     timed("monthly_peak", lambda: drain(X.monthly_peak(clean)))
