@@ -311,7 +311,7 @@ simple("d5_dense_folds", lambda s: FO.make_folds(s.features, DEFAULTS.dense_fold
 simple("d6_fold_invariants", lambda s: FO.fold_violations(s.features, s.folds))
 simple(
     "d7_training_slice",
-    lambda s: rounded(FO.training_stats(s.features, s.folds).select(*KEYS, "fold", "n_train", "last_ts", "sum_y"), 3),
+    lambda s: rounded(FO.training_stats(s.features, s.folds).select(*KEYS, "fold", "n_train", "last_ts", "sum_y"), 1),
 )
 simple(
     "d8_target_slice",
@@ -411,7 +411,7 @@ simple(
 @query("d25_permutation")
 def _(s):
     made = A.shuffle_target(s.features.select(*KEYS, "ts", "op_date", "y")).groupBy(*KEYS)
-    return made.agg(F.count("y").alias("n"), F.round(F.sum("y"), 3).alias("sum_y"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+    return made.agg(F.count("y").alias("n"), F.round(F.sum("y"), 1).alias("sum_y"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
 # ---------------------------------------------------------------- metrics and reports

@@ -431,7 +431,7 @@ oracle("d6_fold_invariants", """
     SELECT series, count(*) AS n_folds, 0::BIGINT AS wrong_length, 0::BIGINT AS not_after_cutoff, 0::BIGINT AS overlap,
            0::BIGINT AS wrong_growth, 0::BIGINT AS off_step FROM folds GROUP BY 1""")
 oracle("d7_training_slice", """
-    SELECT d.series, fold, count(*) AS n_train, max(ts) AS last_ts, round(sum(y), 3) AS sum_y
+    SELECT d.series, fold, count(*) AS n_train, max(ts) AS last_ts, round(sum(y), 1) AS sum_y
     FROM folds d JOIN features f ON f.series = d.series AND f.ts <= d.cutoff GROUP BY ALL""")
 oracle("d8_target_slice", f"""
     SELECT f.series, fold, ts, lead, {_r(*_REAL)}, is_weekend, is_holiday
@@ -465,7 +465,7 @@ oracle("d24_forecast_replay", """
     FROM (SELECT series, max(target_date) AS op_date FROM folds GROUP BY 1) d JOIN features f ON f.series = d.series AND f.op_date = d.op_date
     CROSS JOIN (SELECT unnest(['naive', 'snaive', 'prophet', 'lgbm']) AS model) GROUP BY ALL""")
 oracle("d25_permutation", f"""
-    SELECT series, count(y) AS n, round(sum(y), 3) AS sum_y, {_r('min_y', 'max_y')}
+    SELECT series, count(y) AS n, round(sum(y), 1) AS sum_y, {_r('min_y', 'max_y')}
     FROM (SELECT *, min(y) OVER (PARTITION BY series) AS min_y, max(y) OVER (PARTITION BY series) AS max_y FROM features) GROUP BY series, min_y, max_y""")
 CTES["cut_marks"] = """
     SELECT DISTINCT series, m FROM (SELECT series, cutoff AS m FROM folds
@@ -551,7 +551,7 @@ _NORMAL_P = """(SELECT greatest(0, 1 - sqrt(2 / pi()) * abs(z) / 6000 * sum(
 _EXACT_P = """(SELECT least(1.0, 2 * sum(c) FILTER (s <= wilcoxon_stat) / sum(c)) FROM (
     WITH RECURSIVE ways AS (
         SELECT 0 AS k, 0 AS s, 1::DOUBLE AS c
-        UNION ALL SELECT k + 1, s + b * (k + 1), sum(c) FROM ways CROSS JOIN (VALUES (0), (1)) v(b) WHERE k < 12 GROUP BY k, s + b * (k + 1))
+        UNION ALL SELECT k + 1, s + b * (k + 1), sum(c) FROM ways CROSS JOIN (VALUES (0), (1)) v(b) WHERE k < 50 GROUP BY k, s + b * (k + 1))
     SELECT * FROM ways) w WHERE w.k = n_folds)"""
 for _n, _t in (("e7_p_values", ""), ("e7_exact_p_values", "12")):
     oracle(_n, f"""
