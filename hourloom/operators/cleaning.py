@@ -231,14 +231,14 @@ def validate(df: DataFrame, keys=KEYS, cfg: Settings = DEFAULTS) -> DataFrame:
     return df
 
 
-# Rule names of the reconciliation log, in order.
+# Rule names of the reconciliation log, in order; h is the longest gap that is interpolated.
 RULES = (
     "0. Raw rows read",
     "1. DST fall-back / duplicate stamps",
     "1. DST spring-forward stamps",
     "2. Reindex to full hourly grid",
-    "3. Short gaps (<=6h) interpolated",
-    "3. Long gaps (>6h) -> bad_day",
+    "3. Short gaps (<={h}h) interpolated",
+    "3. Long gaps (>{h}h) -> bad_day",
     "4. Outliers winsorized",
     "5. Weather joined",
     "5. Validation",
@@ -307,7 +307,7 @@ def reconciliation(
             c.cast("bigint").alias("rows_affected"),
             note.alias("note"),
         )
-        for i, (rule, c, note) in enumerate(zip(RULES, counts, notes))
+        for i, (rule, c, note) in enumerate(zip((r.format(h=cfg.max_interpolate_gap_h) for r in RULES), counts, notes))
     ]
     return before.join(after, keys).select(*keys, F.inline(F.array(*entries)))
 
