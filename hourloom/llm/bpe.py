@@ -1,10 +1,12 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Words are what stands between white space. They are counted over all documents; the most frequent ones (at most FREQUENT, so the
-table has a fixed bound) are encoded once, their ids are joined with the vocabulary's pieces, and the table goes to every
-task, where a document's words are replaced by position. The many words that occur a few times are encoded in
-the distinct-word table of the batch that holds them: joining them by position over a shuffle would move
-every document a second time.
+Words are what stands between white space. Documents are read in units of a few megabytes: a unit numbers its distinct words
+and keeps its documents as word numbers. Its words go, packed by bucket of their hash, to the one task that
+owns the bucket; there each distinct word of the corpus is encoded once, and its ids are joined with the vocabulary's pieces.
+The answers go back to the unit, in the order in which its words are numbered, and take the words' places there.
+
+Only a unit's distinct words are moved, never its texts, and a word that all documents have counts once a unit.
+The pieces are a table of fixed size, so every task joins them by itself.
 """
 
 from __future__ import annotations
@@ -14,17 +16,22 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.llm import common as C
 from hourloom.llm.words import encoder, sliced, split_words
 
-#: Most words in the table that every task holds.
-FREQUENT = 2**16
-#: Rarer words that a task remembers from batch to batch.
-REMEMBERED = 100_000
+#: Bytes of text after which a unit ends, and bytes of text for each bucket of words.
+UNIT, BUCKET = 2**24, 2**24
+#: A unit is one row with its documents (bucket -1) and a row with its words in each bucket.
+UNITS = "unit long, bucket int, doc_ids array<long>, ends array<long>, codes binary, words array<string>"
+#: What the documents' row and the answers to the words' rows look like to the unit.
+ANSWERS = "unit long, bucket int, doc_ids array<long>, ends array<long>, codes binary, ids array<string>, decoded array<string>, encoded int"
 
 
 def load(path: str) -> str:
@@ -34,100 +41,119 @@ def load(path: str) -> str:
     return json.dumps(spec | {"truncation": None, "padding": None})
 
 
-def pieces(spark: SparkSession, tokenizer_json: str) -> DataFrame:
-    """id, piece: the whole vocabulary with the added tokens, a table of fixed size."""
+def pieces(tokenizer_json: str) -> list[str]:
+    """The piece of each id, added tokens included; ids without a piece have an empty one."""
     from tokenizers import Tokenizer
 
-    return spark.createDataFrame([(i, p) for p, i in Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).items()], "id int, piece string")
-
-
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, n over all documents; words that repeat in a batch are summed up before the shuffle."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 4000):
-            _, codes, words = split_words(b.column(0), lower=False)
-            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))], names=["word", "n"])
-
-    return docs.select(C.text_or_empty(text_col).alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """The words seen at least as often as some count, at most `most` of them."""
-    of = sorted(((r.n, r.k) for r in counts.groupBy("n").agg(F.count("*").alias("k")).where(F.col("n") >= 2).orderBy(F.desc("n")).limit(most).collect()), reverse=True)  # a row for each count
-    least, words = None, 0
-    for n, k in of:
-        words += k
-        if words > most:
-            break
-        least = n
-    return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
-
+    vocabulary = Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True)
+    table = [""] * (max(vocabulary.values(), default=-1) + 1)
+    for piece, i in vocabulary.items():
+        table[i] = piece
+    return table
+
+
+def units(docs: DataFrame, buckets: int, unit_bytes: int = UNIT) -> DataFrame:
+    """Documents (doc_id, text) as rows of UNITS. A unit's words are numbered by bucket, then by code point."""
+    names = [x.split()[0] for x in UNITS.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
+
+    def packed(unit: int, parts: list[tuple]) -> pa.RecordBatch:
+        together = pa.chunked_array([p[3] for p in parts]).combine_chunks().cast(pa.string()).dictionary_encode()
+        words = together.dictionary
+        bucket = (pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False) % np.uint64(buckets)).astype(np.int32) if len(words) else np.zeros(0, np.int32)
+        order = pc.sort_indices(pa.table({"b": bucket, "w": words}), sort_keys=[("b", "ascending"), ("w", "ascending")]).to_numpy()
+        number = np.empty(len(words), np.uint32)
+        number[order] = np.arange(len(words), dtype=np.uint32)
+        number = number[together.indices.to_numpy()]  # of each part's own words, one part after the other
+        codes, ends, ids, base, length = [], [np.zeros(1, np.int64)], [], 0, 0
+        for doc_ids, to, at, own in parts:
+            codes.append(number[base + at])
+            ends.append(to[1:] + length)
+            ids += doc_ids.to_pylist()
+            base, length = base + len(own), length + len(at)
+        squeezed = pa.compress(np.concatenate(codes).tobytes(), codec="zstd", asbytes=True)
+        words, bucket = words.take(pa.array(order)), bucket[order]
+        here, start = np.unique(bucket, return_index=True)
+        lists = [words.slice(x, y - x).to_pylist() for x, y in zip(start, [*start[1:], len(words)])]
+        rows = [[unit] * (1 + len(here)), [-1, *here.tolist()], [ids] + [None] * len(here), [np.concatenate(ends)] + [None] * len(here), [squeezed] + [None] * len(here), [None, *lists]]
+        return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=names)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, parts, size = TaskContext.get().partitionId() << 32, [], 0
+        for b in sliced(batches, 500):
+            parts.append((b.column(0), *split_words(b.column(1), lower=False)))
+            size += pc.sum(pc.binary_length(b.column(1))).as_py() or 0
+            if size >= unit_bytes:
+                yield packed(unit, parts)
+                unit, parts, size = unit + 1, [], 0
+        if parts:
+            yield packed(unit, parts)
+
+    return docs.mapInArrow(numbered, UNITS)
+
+
+def answers(unit_words: DataFrame, tokenizer_json: str, buckets: int) -> DataFrame:
+    """The words' rows of UNITS -> rows of ANSWERS: each word's ids in decimal and its pieces, both with a space between.
+
+    A bucket is in one task, which encodes each of its words once; `encoded` counts the words that a row was the first to ask for.
+    """
+    names = [x.split()[0] for x in ANSWERS.split(", ")]
+    table = unit_words.sparkSession.sparkContext.broadcast(pieces(tokenizer_json))
 
-def encode_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
-    """word -> word, ids."""
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_json)
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, piece = encoder(tokenizer_json), table.value
+        number: dict[str, int] = {}
+        ids, decoded = [], []
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode(b.column(0).to_pylist()), pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.select("word").mapInArrow(encoded, "word string, ids array<int>")
-
-
-def decode_words(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """word, ids -> also decoded: each id joined with its piece, in order, with a space between pieces. Words without ids have an empty text."""
-    at = encoded.select("word", F.posexplode("ids").alias("pos", "id"))
-    text = at.join(vocabulary, "id").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("s"))
-    return encoded.join(text, "word", "left").select("word", "ids", F.coalesce(F.concat_ws(" ", "s.piece"), F.lit("")).alias("decoded"))
-
-
-def encode_documents(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_col: str = "text", most: int = FREQUENT, keep_ids: bool = False) -> DataFrame:
+            for k in range(len(b)):
+                asked = b.column(2)[k].as_py()
+                new = [w for w in asked if w not in number]
+                for w, x in zip(new, encode(new)):
+                    number[w] = len(ids)
+                    ids.append(" ".join(map(str, x)))
+                    decoded.append(" ".join([piece[i] for i in x]))
+                at = [number[w] for w in asked]
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()),
+                    pa.array([[ids[i] for i in at]], pa.list_(pa.string())), pa.array([[decoded[i] for i in at]], pa.list_(pa.string())), pa.array([len(new)], pa.int32()),
+                ], names=names)
+
+    return unit_words.select("unit", "bucket", "words").repartition(buckets, "bucket").mapInArrow(answered, ANSWERS)
+
+
+def encode_documents(
+    docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT, bucket_bytes: int = BUCKET, keep_ids: bool = False,
+) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded with keep_ids): one row per row of docs.
 
     ids_sha256 is of the ids in decimal with a space between, decoded_sha256 of their pieces with a space between, which is how the
     library decodes where a tokenizer file names no decoder. Null and white texts have no ids. No rows in, no rows out.
     """
-    spark = docs.sparkSession
-    counts = C.stage(word_counts(docs, text_col), "words")
-    vocabulary = pieces(spark, tokenizer_json)
-    table = decode_words(encode_words(frequent(counts, most), tokenizer_json), vocabulary).toArrow()  # `most` rows at most
-    piece_of = {r["id"]: r["piece"] for r in vocabulary.toArrow().to_pylist()}
-    shared = spark.sparkContext.broadcast((
-        table.column("word").to_pylist(), [" ".join(map(str, x)) for x in table.column("ids").to_pylist()], table.column("decoded").to_pylist(), piece_of))
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids, decoded, piece = shared.value
-        known = dict(zip(words, zip(ids, decoded)))
-        rare: dict[str, tuple[str, str]] = {}
-        encode = encoder(tokenizer_json)
-        for b in sliced(batches):
-            if len(rare) > REMEMBERED:
-                rare.clear()
-            ends, codes, distinct = split_words(b.column(1), lower=False)
-            names = distinct.to_pylist()
-            new = [w for w in names if w not in known and w not in rare]
-            for w, x in zip(new, encode(new)):
-                rare[w] = (" ".join(map(str, x)), " ".join([piece[i] for i in x]))
-            found = [known.get(w) or rare[w] for w in names]
-            as_ids, as_text = np.empty(len(found), object), np.empty(len(found), object)
-            as_ids[:], as_text[:] = [x[0] for x in found], [x[1] for x in found]
-            length = np.array([x.count(" ") + 1 if x else 0 for x in as_ids], np.int64)
-            solid = bool((length > 0).all())
-            rows: list[list] = [[], [], [], [], []]
-            for x, y in zip(ends[:-1], ends[1:]):
-                here = codes[x:y]
-                i, t = as_ids[here].tolist(), as_text[here].tolist()
-                i, t = (" ".join(i), " ".join(t)) if solid else (" ".join(filter(None, i)), " ".join(filter(None, t)))
-                rows[0].append(int(length[here].sum()))
-                rows[1].append(hashlib.sha256(i.encode()).hexdigest())
-                rows[2].append(hashlib.sha256(t.encode()).hexdigest())
-                if keep_ids:
-                    rows[3].append(list(map(int, i.split())))
-                    rows[4].append(t)
-            out = [b.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
-            if keep_ids:
-                out += [pa.array(rows[3], pa.list_(pa.int32())), pa.array(rows[4], pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names=names_out)
-
+    rows = C.id_rows(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = 1 + size // bucket_bytes
+    made = C.stage(units(rows, buckets, unit_bytes), "units")
+    met = answers(made.where("bucket >= 0"), tokenizer_json, buckets)
+    own = made.where("bucket < 0").select("unit", "bucket", "doc_ids", "ends", "codes", *[F.lit(None).cast(t).alias(n) for n, t in (("ids", "array<string>"), ("decoded", "array<string>"), ("encoded", "int"))])
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
-    names_out = [x.split()[0] for x in schema.split(", ")]
-    return C.id_rows(docs, id_col, text_col).mapInArrow(encoded, schema)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def replaced(unit: pa.Table) -> pa.Table:
+        unit = unit.sort_by("bucket")
+        doc_ids, ends, codes = (unit.column(c)[0].as_py() for c in ("doc_ids", "ends", "codes"))
+        as_ids, as_text = (np.array(unit.column(c).slice(1).combine_chunks().flatten().to_pylist() or [""], object) for c in ("ids", "decoded"))
+        length = np.array([x.count(" ") + 1 if x else 0 for x in as_ids], np.int64)
+        solid = bool((length > 0).all())
+        at = np.frombuffer(pa.decompress(codes, 4 * ends[-1], codec="zstd", asbytes=True), np.uint32) if ends[-1] else np.zeros(0, np.uint32)
+        out: list[list] = [[] for _ in names]
+        for doc, x, y in zip(doc_ids, ends[:-1], ends[1:]):
+            here = at[x:y]
+            i, t = as_ids[here].tolist(), as_text[here].tolist()
+            i, t = (" ".join(i), " ".join(t)) if solid else (" ".join(filter(None, i)), " ".join(filter(None, t)))
+            made = (doc, int(length[here].sum()), hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), list(map(int, i.split())) if keep_ids else None, t)
+            for column, value in zip(out, made):
+                column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+        return pa.table([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
+
+    return own.unionByName(met).groupBy("unit").applyInArrow(replaced, schema)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # What counts as white space between words.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
@@ -51,3 +53,15 @@ def encoder(tokenizer_json: str, words: int = 4000, chars: int = 200_000):
         return out + [made(e.ids) for e in tok.encode_batch_fast(now, add_special_tokens=False)]
 
     return encode
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words seen at least as often as some count, at most `most` of them."""
+    of = sorted(((r.n, r.k) for r in counts.groupBy("n").agg(F.count("*").alias("k")).where(F.col("n") >= 2).orderBy(F.desc("n")).limit(most).collect()), reverse=True)  # a row for each count
+    least, words = None, 0
+    for n, k in of:
+        words += k
+        if words > most:
+            break
+        least = n
+    return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)

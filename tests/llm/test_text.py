@@ -92,17 +92,28 @@ def test_bpe_equals_the_library(odd, nothing, documents):
 
     spec = tokenizer("word_bpe_49k.json")
     tok = Tokenizer.from_str(spec)
-    for docs, most in ((odd, 5), (odd, bpe.FREQUENT), (documents, 100)):
+    for docs, size in ((odd, 1000), (odd, bpe.UNIT), (documents, 50_000)):
         want = Counter()
         for r in docs.select("doc_id", "text").collect():
             ids = tok.encode(r.text or "", add_special_tokens=False).ids
             want[r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
-        got = bpe.encode_documents(docs, spec, most=most, keep_ids=True).collect()
+        got = bpe.encode_documents(docs, spec, unit_bytes=size, bucket_bytes=size, keep_ids=True).collect()
         assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
         assert all(len(r.ids) == r.n_tokens for r in got)
     assert bpe.encode_documents(nothing, spec).count() == 0
 
 
+def test_each_distinct_word_is_encoded_once(documents, texts):
+    rows = documents.select("doc_id", "text")
+    made = bpe.units(rows.repartition(5), 7, 50_000).persist()
+    assert made.select("unit").distinct().count() > 3
+    got = bpe.answers(made.where("bucket >= 0"), tokenizer("word_bpe_49k.json"), 7)
+    words = {w for t in texts.values() for w in WORD.findall(t)}
+    assert got.agg(F.sum("encoded")).first()[0] == len(words)
+    assert got.agg(F.sum(F.size("ids"))).first()[0] == made.agg(F.sum(F.size("words"))).first()[0] > len(words)
+    made.unpersist()
+
+
 def test_shards_are_even_and_keep_copies_together(documents, odd, nothing):
     got = sharding.kd_shards(documents, shards=8, rows_a_bucket=20).toPandas()
     sums = got.groupby("shard")["size"].sum()
