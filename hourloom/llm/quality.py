@@ -23,7 +23,7 @@ SAMPLE = 20_000
 ACCEPT = 0.7
 STATS = (
     "log_chars", "log_words", "word_length", "word_length_sd", "letters", "upper", "digits", "spaces", "symbols", "top_symbol", "odd_words", "capital_words",
-    "distinct_words", "top_word", "distinct_fives", "lines", "distinct_lines", "line_length", "short_lines", "packed_head", "sentence", "long_words", "non_ascii",
+    "distinct_words", "top_word", "distinct_fives", "lines", "distinct_lines", "line_length", "short_lines", "packed", "sentence", "long_words", "non_ascii",
 )
 
 
@@ -47,14 +47,13 @@ def statistics(text: str) -> list[float]:
     lines = [x for x in text.split("\n") if x.strip()]
     letters, upper = int(seen[97:123].sum() + seen[65:91].sum()), int(seen[65:91].sum())
     marks = np.concatenate([seen[33:44], seen[45:46], seen[47:48], seen[58:65], seen[91:97], seen[123:127]])  # all but commas and full stops
-    head = raw[:2000]
     mean = float(lengths @ counts) / w
     return [
         math.log1p(n), math.log1p(len(words)), mean, math.sqrt(max(0.0, float(lengths**2 @ counts) / w - mean * mean)), letters / n, upper / max(1, letters),
         int(seen[48:58].sum()) / n, int(seen[9:14].sum() + seen[32]) / n, int(marks.sum()) / n, int(marks.max()) / n,
         float(odd @ counts) / w, float(capital @ counts) / w, len(counts) / w, int(counts.max(initial=0)) / w, fives,
         math.log1p(len(lines)), len(set(lines)) / max(1, len(lines)), w / max(1, len(lines)), sum(len(x) < 40 for x in lines) / max(1, len(lines)),
-        len(zlib.compress(head, 1)) / len(head), (int(seen[46]) + int(seen[33]) + int(seen[63])) / w, float((lengths > 20) @ counts) / w, int(seen[128:].sum()) / n,
+        len(zlib.compress(raw, 1)) / n, (int(seen[46]) + int(seen[33]) + int(seen[63])) / w, float((lengths > 20) @ counts) / w, int(seen[128:].sum()) / n,
     ]
 
 
