@@ -1,19 +1,21 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Words are what stands between white space. Documents are read in units of a few megabytes: a unit numbers its distinct words
-and keeps its documents as word numbers. Its words go, packed by bucket of their hash, to the one task that
-owns the bucket; there each distinct word of the corpus is encoded once, and its ids are joined with the vocabulary's pieces.
-The answers go back to the unit, in the order in which its words are numbered, and take the words' places there.
+Words are what stands between white space. Documents are read in units of a few megabytes; a unit numbers its distinct words.
+The words go, packed by bucket of their hash, to the one task that owns the bucket; there each distinct word of the corpus is
+encoded once. The ids go back to the unit, in the order in which its words are numbered, and meet its documents, which
+are word numbers by then. A unit joins the ids of its distinct words with the vocabulary's pieces, a table of fixed size.
 
-Only a unit's distinct words are moved, never its texts, and a word that all documents have counts once a unit.
-The pieces are a table of fixed size, so every task joins them by itself.
+Texts aren't moved, and a word that all documents have counts once a unit. Word numbers are made in a second reading of the
+documents and not written in between, so documents must be a written table or a scan, which reads the same twice; checksums tell if not.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,10 +30,23 @@ from hourloom.llm.words import encoder, sliced, split_words
 
 #: Bytes of text after which a unit ends, and bytes of text for each bucket of words.
 UNIT, BUCKET = 2**24, 2**24
-#: A unit is one row with its documents (bucket -1) and a row with its words in each bucket.
-UNITS = "unit long, bucket int, doc_ids array<long>, ends array<long>, codes binary, words array<string>"
-#: What the documents' row and the answers to the words' rows look like to the unit.
-ANSWERS = "unit long, bucket int, doc_ids array<long>, ends array<long>, codes binary, ids array<string>, decoded array<string>, encoded int"
+#: A unit's row with its documents (bucket -1) has their ids, ends and word numbers and its words' checksums; its rows with words
+#: have n words or, once answered, the ids of n words. `encoded` counts the words that were encoded for this row.
+UNITS = "unit long, bucket int, n long, size long, packed binary, check long, encoded int, doc_ids array<long>, ends array<long>, checks array<long>"
+KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
+NAMES = [x.split()[0] for x in UNITS.split(", ")]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=NAMES)
+
+
+def _packed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, codec="zstd", asbytes=True) if size else b""
 
 
 def load(path: str) -> str:
@@ -52,16 +67,20 @@ def pieces(tokenizer_json: str) -> list[str]:
     return table
 
 
-def units(docs: DataFrame, buckets: int, unit_bytes: int = UNIT) -> DataFrame:
-    """Documents (doc_id, text) as rows of UNITS. A unit's words are numbered by bucket, then by code point."""
-    names = [x.split()[0] for x in UNITS.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
-
+def units(docs: DataFrame, buckets: int, unit_bytes: int = UNIT, documents: bool = False) -> DataFrame:
+    """Documents (doc_id, text) as rows of UNITS: of their words or of the documents. A unit's words are numbered by bucket, then by code point."""
     def packed(unit: int, parts: list[tuple]) -> pa.RecordBatch:
         together = pa.chunked_array([p[3] for p in parts]).combine_chunks().cast(pa.string()).dictionary_encode()
         words = together.dictionary
-        bucket = (pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False) % np.uint64(buckets)).astype(np.int32) if len(words) else np.zeros(0, np.int32)
+        hashed = pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+        bucket = (hashed % np.uint64(buckets)).astype(np.int32)
         order = pc.sort_indices(pa.table({"b": bucket, "w": words}), sort_keys=[("b", "ascending"), ("w", "ascending")]).to_numpy()
+        here, start = np.unique(bucket[order], return_index=True)
+        words = words.take(pa.array(order))
+        blobs = ["\n".join(words.slice(x, y - x).to_pylist()).encode() for x, y in zip(start, [*start[1:], len(words)])]
+        if not documents:
+            counts = np.diff([*start, len(words)])
+            return _rows([(unit, b, n, len(t), _packed(t), zlib.crc32(t), None, None, None, None) for b, n, t in zip(here.tolist(), counts.tolist(), blobs)])
         number = np.empty(len(words), np.uint32)
         number[order] = np.arange(len(words), dtype=np.uint32)
         number = number[together.indices.to_numpy()]  # of each part's own words, one part after the other
@@ -71,12 +90,7 @@ def units(docs: DataFrame, buckets: int, unit_bytes: int = UNIT) -> DataFrame:
             ends.append(to[1:] + length)
             ids += doc_ids.to_pylist()
             base, length = base + len(own), length + len(at)
-        squeezed = pa.compress(np.concatenate(codes).tobytes(), codec="zstd", asbytes=True)
-        words, bucket = words.take(pa.array(order)), bucket[order]
-        here, start = np.unique(bucket, return_index=True)
-        lists = [words.slice(x, y - x).to_pylist() for x, y in zip(start, [*start[1:], len(words)])]
-        rows = [[unit] * (1 + len(here)), [-1, *here.tolist()], [ids] + [None] * len(here), [np.concatenate(ends)] + [None] * len(here), [squeezed] + [None] * len(here), [None, *lists]]
-        return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=names)
+        return _rows([(unit, -1, len(words), 4 * length, _packed(np.concatenate(codes).tobytes()), None, None, ids, np.concatenate(ends), [zlib.crc32(t) for t in blobs])])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, parts, size = TaskContext.get().partitionId() << 32, [], 0
@@ -93,32 +107,23 @@ def units(docs: DataFrame, buckets: int, unit_bytes: int = UNIT) -> DataFrame:
 
 
 def answers(unit_words: DataFrame, tokenizer_json: str, buckets: int) -> DataFrame:
-    """The words' rows of UNITS -> rows of ANSWERS: each word's ids in decimal and its pieces, both with a space between.
+    """Rows of words -> rows of their ids: 32-bit numbers, first how many ids each word has, then all the ids.
 
-    A bucket is in one task, which encodes each of its words once; `encoded` counts the words that a row was the first to ask for.
+    A bucket is in one task, which encodes each of its words once.
     """
-    names = [x.split()[0] for x in ANSWERS.split(", ")]
-    table = unit_words.sparkSession.sparkContext.broadcast(pieces(tokenizer_json))
-
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, piece = encoder(tokenizer_json), table.value
-        number: dict[str, int] = {}
-        ids, decoded = [], []
+        encode = encoder(tokenizer_json)
+        known: dict[str, list[int]] = {}
         for b in batches:
-            for k in range(len(b)):
-                asked = b.column(2)[k].as_py()
-                new = [w for w in asked if w not in number]
-                for w, x in zip(new, encode(new)):
-                    number[w] = len(ids)
-                    ids.append(" ".join(map(str, x)))
-                    decoded.append(" ".join([piece[i] for i in x]))
-                at = [number[w] for w in asked]
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()),
-                    pa.array([[ids[i] for i in at]], pa.list_(pa.string())), pa.array([[decoded[i] for i in at]], pa.list_(pa.string())), pa.array([len(new)], pa.int32()),
-                ], names=names)
-
-    return unit_words.select("unit", "bucket", "words").repartition(buckets, "bucket").mapInArrow(answered, ANSWERS)
+            for r in b.select(NAMES[:6]).to_pylist():
+                words = _unpacked(r["packed"], r["size"]).decode().split("\n")
+                new = [w for w in words if w not in known]
+                known.update(zip(new, encode(new)))
+                ids = [known[w] for w in words]
+                numbers = np.fromiter(chain(map(len, ids), chain.from_iterable(ids)), np.uint32)
+                yield _rows([(r["unit"], r["bucket"], r["n"], 4 * len(numbers), _packed(numbers.tobytes()), r["check"], len(new), None, None, None)])
+
+    return unit_words.repartition(buckets, "bucket").mapInArrow(answered, UNITS)
 
 
 def encode_documents(
@@ -132,22 +137,29 @@ def encode_documents(
     rows = C.id_rows(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = 1 + size // bucket_bytes
-    made = C.stage(units(rows, buckets, unit_bytes), "units")
-    met = answers(made.where("bucket >= 0"), tokenizer_json, buckets)
-    own = made.where("bucket < 0").select("unit", "bucket", "doc_ids", "ends", "codes", *[F.lit(None).cast(t).alias(n) for n, t in (("ids", "array<string>"), ("decoded", "array<string>"), ("encoded", "int"))])
+    met = units(rows, buckets, unit_bytes, documents=True).unionByName(answers(units(rows, buckets, unit_bytes), tokenizer_json, buckets))
+    table = docs.sparkSession.sparkContext.broadcast(pieces(tokenizer_json))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def replaced(unit: pa.Table) -> pa.Table:
-        unit = unit.sort_by("bucket")
-        doc_ids, ends, codes = (unit.column(c)[0].as_py() for c in ("doc_ids", "ends", "codes"))
-        as_ids, as_text = (np.array(unit.column(c).slice(1).combine_chunks().flatten().to_pylist() or [""], object) for c in ("ids", "decoded"))
-        length = np.array([x.count(" ") + 1 if x else 0 for x in as_ids], np.int64)
+        own, *words = unit.sort_by("bucket").to_pylist()
+        if own["bucket"] != -1 or own["checks"] != [r["check"] for r in words]:
+            raise RuntimeError("documents came in another order when they were read again; pass a written table")
+        numbers = [np.frombuffer(_unpacked(r["packed"], r["size"]), np.uint32) for r in words]
+        length = np.concatenate([x[: r["n"]] for x, r in zip(numbers, words)] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        ids = np.concatenate([x[r["n"] :] for x, r in zip(numbers, words)] or [np.zeros(0, np.uint32)])
+        to = np.cumsum(length)
+        digits, piece = np.array([str(i) for i in range(len(table.value))], object), np.array(table.value, object)
+        as_ids, as_text = np.empty(len(length), object), np.empty(len(length), object)
+        for filled, names_of in ((as_ids, digits), (as_text, piece)):
+            flat = names_of[ids].tolist()
+            filled[:] = [" ".join(flat[x:y]) for x, y in zip((to - length).tolist(), to.tolist())]
         solid = bool((length > 0).all())
-        at = np.frombuffer(pa.decompress(codes, 4 * ends[-1], codec="zstd", asbytes=True), np.uint32) if ends[-1] else np.zeros(0, np.uint32)
+        codes, ends = np.frombuffer(_unpacked(own["packed"], own["size"]), np.uint32), own["ends"]
         out: list[list] = [[] for _ in names]
-        for doc, x, y in zip(doc_ids, ends[:-1], ends[1:]):
-            here = at[x:y]
+        for doc, x, y in zip(own["doc_ids"], ends[:-1], ends[1:]):
+            here = codes[x:y]
             i, t = as_ids[here].tolist(), as_text[here].tolist()
             i, t = (" ".join(i), " ".join(t)) if solid else (" ".join(filter(None, i)), " ".join(filter(None, t)))
             made = (doc, int(length[here].sum()), hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), list(map(int, i.split())) if keep_ids else None, t)
@@ -156,4 +168,4 @@ def encode_documents(
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         return pa.table([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
 
-    return own.unionByName(met).groupBy("unit").applyInArrow(replaced, schema)
+    return met.groupBy("unit").applyInArrow(replaced, schema)
