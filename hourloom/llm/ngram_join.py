@@ -252,7 +252,7 @@ def _links(n: np.ndarray, tokens: list[bytes], t: tuple[int, int], split: int |
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
-    """Rows of sorted batches, gathered while their first `keys` columns stay the same."""
+    """Rows of sorted batches, gathered while their first `keys` columns stay the same; a row that comes again is left out."""
     now, held = None, []
     for b in batches:
         for r in zip(*[c.to_pylist() for c in b.columns]):
@@ -260,7 +260,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tupl
                 if held:
                     yield held
                 now, held = r[:keys], []
-            held.append(r[keys:])
+            if not held or held[-1] != r[keys:]:
+                held.append(r[keys:])
     if held:
         yield held
 
@@ -270,13 +271,14 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a.min(1)) if len(a) else a[:, 0]), pa.array(np.ascontiguousarray(a.max(1)) if len(a) else a[:, 0])], names=["a", "b"])
 
 
-def _within(members: DataFrame, data: DataFrame, find: Callable, t: tuple[int, int], block: int, name: str) -> DataFrame:
+def _within(members: DataFrame, attach: Callable[[DataFrame], DataFrame], find: Callable, t: tuple[int, int], block: int, name: str) -> DataFrame:
     """v, label: components of the pairs that `find` links within a unit; rows without a link are missing.
 
-    members (unit, row, m: rows of the unit), data (row, n, data: what find compares).
+    members (unit, row, m: rows of the unit, and what attach needs); attach adds n and data, which is what find compares.
     """
+    needed = [c for c in members.columns if c not in ("unit", "row", "m")]
     blocks = F.ceil(F.col("m") / block).cast("int")
-    laid = members.select("unit", "row", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("blk")).join(data, "row")
+    laid = attach(members.select("unit", "row", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("blk"), *needed))
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, 2):
@@ -290,16 +292,16 @@ def _within(members: DataFrame, data: DataFrame, find: Callable, t: tuple[int, i
     label = components(edges)
 
     # Units of more than one block whose rows aren't in one component yet: those outside the largest one against all.
-    wide = C.stage(members.where(blocks > 1).select("unit", "row", "m").join(label.select(F.col("v").alias("row"), "label"), "row", "left").withColumn("label", F.coalesce("label", "row")), f"{name}-wide")
+    wide = C.stage(members.where(blocks > 1).join(label.select(F.col("v").alias("row"), "label"), "row", "left").withColumn("label", F.coalesce("label", "row")), f"{name}-wide")
     shares = wide.groupBy("unit", "m", "label").agg(F.count("*").alias("c")).groupBy("unit", "m").agg(F.max(F.struct("c", "label")).alias("x")).where("x.c < m")
     shares = C.stage(shares.select("unit", F.col("x.label").alias("main"), (F.col("m") - F.col("x.c")).alias("out")), f"{name}-open")
     if shares.isEmpty():
         return label
     left = wide.join(shares, "unit")
     a, b = F.ceil(F.col("out") / block).cast("int"), blocks
-    outer = left.where(F.col("label") != F.col("main")).select("unit", F.pmod(F.xxhash64("row"), a).cast("int").alias("ab"), F.explode(F.sequence(F.lit(0), b - 1)).alias("bb"), F.lit(0).alias("side"), "row", "label")
-    inner = left.select("unit", F.explode(F.sequence(F.lit(0), a - 1)).alias("ab"), F.pmod(F.xxhash64("row"), b).cast("int").alias("bb"), F.lit(1).alias("side"), "row", "label")
-    pairs = outer.unionByName(inner).join(data, "row").repartition("unit", "ab", "bb").sortWithinPartitions("unit", "ab", "bb", "side", "row")
+    outer = left.where(F.col("label") != F.col("main")).select("unit", F.pmod(F.xxhash64("row"), a).cast("int").alias("ab"), F.explode(F.sequence(F.lit(0), b - 1)).alias("bb"), F.lit(0).alias("side"), "row", "label", *needed)
+    inner = left.select("unit", F.explode(F.sequence(F.lit(0), a - 1)).alias("ab"), F.pmod(F.xxhash64("row"), b).cast("int").alias("bb"), F.lit(1).alias("side"), "row", "label", *needed)
+    pairs = attach(outer.unionByName(inner)).repartition("unit", "ab", "bb").sortWithinPartitions("unit", "ab", "bb", "side", "row")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, 3):
@@ -314,6 +316,32 @@ def _within(members: DataFrame, data: DataFrame, find: Callable, t: tuple[int, i
     return components(C.stage(edges.unionByName(more), f"{name}-more"))
 
 
+def _sets(rows: DataFrame, wanted: DataFrame, words: int, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """k, n, sig1, sig2, data: what `make` makes of the whole sets of the rows that wanted (with k) has, and of few others.
+
+    A bit field of fixed size spares most others the way through the shuffle; equal sets of one k come once from a batch.
+    """
+    spark, slots = rows.sparkSession, 1 << FILTER_BITS
+    word, bit = F.floor(F.pmod(F.col("k"), F.lit(slots)) / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(k, {slots}) % 64 as int))")
+    set_bits = wanted.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+    field = np.zeros(slots // 64, np.int64)
+    field[set_bits.column("w").to_numpy()] = set_bits.column("bits").to_numpy()
+    known = spark.sparkContext.broadcast(np.unpackbits(field.view(np.uint8), bitorder="little"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column(1).to_numpy()
+            keep = np.nonzero(known.value[np.mod(k, slots)])[0]
+            sets, k = shingle_sets(b.column(0).take(pa.array(keep)), words), k[keep]
+            sig = signatures(sets)
+            _, once = np.unique(np.column_stack([k, sig]), axis=0, return_index=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(k[once]), pa.array(np.fromiter((len(sets[i]) for i in once), np.int32, len(once))), pa.array(sig[once, 0]), pa.array(sig[once, 1]),
+                pa.array([make(sets[i]) for i in once], pa.binary())], names=["k", "n", "sig1", "sig2", "data"])
+
+    return rows.select("text", "k").mapInArrow(whole, "k long, n int, sig1 long, sig2 long, data binary")
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, parts: int | None = None,
     frequent: int = FREQUENT, block: int = BLOCK, part_bytes: int = PART_BYTES,
@@ -336,35 +364,19 @@ def jaccard_components(
     member = C.stage(memberships(made.where("part is not null").select("part", "keys", "owners", "base"), part_bytes), "ngram-members")
     enough = member.groupBy("row").agg(F.sum("rare").alias("rare")).join(firsts, "row").where(F.col("rare") + F.col("common") >= least)
     unit_size = lambda m: m.groupBy("unit").agg(F.count("*").alias("m")).where("m > 1")
-    chosen = C.stage(member.select("row", "unit").join(enough.select("row", *same, "k"), "row"), "ngram-chosen")
+    chosen = C.stage(member.select("row", "unit").join(enough.select("row"), "row"), "ngram-chosen")
     units = C.stage(unit_size(chosen), "ngram-units")
     chosen = C.stage(chosen.join(units, "unit"), "ngram-units-rows")
 
-    # The whole sets of the documents in units. A bit field of fixed size spares most others the way to Python.
-    bit = F.pmod(F.col("k"), F.lit(1 << FILTER_BITS))
-    field = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    set_bits = chosen.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(k, {1 << FILTER_BITS}) % 64 as int))")).alias("bits")).toArrow()
-    field[set_bits.column("w").to_numpy()] = set_bits.column("bits").to_numpy()
-    wanted = spark.sparkContext.broadcast(np.unpackbits(field.view(np.uint8), bitorder="little"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = b.column(1).to_numpy()
-            keep = np.nonzero(wanted.value[np.mod(k, 1 << FILTER_BITS)])[0]
-            sets = shingle_sets(b.column(0).take(pa.array(keep)), words)
-            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "data"])
-
-    one = chosen.groupBy("row").agg(F.min("k").alias("k"), F.min("n").alias("n"))
-    full = rows.select("text", "k").mapInArrow(whole, "k long, data binary")
-    sets = C.stage(full.join(one, "k").select("row", "n", "data").dropDuplicates(["row"]), "ngram-tokens")
-
-    def fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.set_column(2, "data", pa.array([bit_field(np.frombuffer(x, np.uint64)) for x in b.column(2).to_pylist()], pa.binary()))
-
-    family = _within(chosen.select("unit", "row", "m"), sets.mapInArrow(fields, "row long, n int, data binary"), _hopeful, t, block, "ngram-units").withColumnsRenamed({"v": "row", "label": "unit"})
-    families = family.join(C.stage(unit_size(family), "ngram-families"), "unit")
-    label = _within(families, sets, _links, t, block, "ngram-families")
+    # Documents are met again by key and set, for two documents may have one key. Whole sets travel only for families.
+    again = ["k", *same]
+    one = C.stage(chosen.select("row").distinct().join(firsts.select("row", *again), "row"), "ngram-compared")
+    fields = C.stage(_sets(rows, one, words, bit_field).join(one, again).select("row", "n", "data").dropDuplicates(["row"]), "ngram-fields")
+    family = _within(chosen, lambda m: m.join(fields, "row"), _hopeful, t, block, "ngram-units").withColumnsRenamed({"v": "row", "label": "unit"})
+    sizes = C.stage(unit_size(family), "ngram-families")
+    families = C.stage(family.join(sizes, "unit").join(one, "row").select("unit", "row", "m", *again), "ngram-families-rows")
+    sets = _sets(rows, families, words, np.ndarray.tobytes)
+    label = _within(families, lambda m: m.join(sets, again), _links, t, block, "ngram-sets-met")
 
     named = nodes.join(firsts.select(*same, F.col("row").alias("first")), same, "left").join(label.withColumnRenamed("v", "first"), "first", "left")
     named = C.stage(named.select("doc_id", "n", "k", F.coalesce("label", "first", "row").alias("label")), "ngram-named")
