@@ -1,8 +1,8 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, whatever the document's length, so sketches of very
-unequal documents can be compared for containment and merged. So that short documents have a sketch as well,
-the FLOOR smallest hashes are always kept; the smallest hashes of a union are among those of its parts, so that merges too.
+unequal documents can be compared for containment and merged. What a short document keeps is left to chance: of n shingles
+about n * FRACTION, and none at all with probability (1 - FRACTION) ** n.
 
 Everything is made of SQL functions; a text is cut into words once and each of its shingles is hashed once.
 """
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from hourloom.llm import common as C
 
-WORDS, FRACTION, FLOOR = 5, 1 / 16, 64
+WORDS, FRACTION = 5, 1 / 4
+#: Text of one bucket in which documents meet their next ones.
+BUCKET_BYTES = 32 << 20
 
 
 def _bind(value: Column, use) -> Column:
@@ -34,15 +36,9 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     return _bind(F.filter(F.split(lowered, C.SPACE + "+"), lambda x: x != ""), of)
 
 
-def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
-    """Distinct hashes in order: all below the fraction of the range, and the `floor` smallest in any case."""
-    limit = int(2**63 * fraction)
-
-    def kept(h: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < limit)))
-        return _bind(low, lambda s: F.when(F.size(s) >= floor, s).otherwise(F.slice(F.array_sort(F.array_distinct(h)), 1, floor)))
-
-    return _bind(shingle_hashes(text, words), kept)
+def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Column:
+    """Distinct hashes below the fraction of the range, in order."""
+    return F.array_sort(F.array_distinct(F.filter(shingle_hashes(text, words), lambda x: x < int(2**63 * fraction))))
 
 
 def fingerprint(sketched: Column) -> Column:
@@ -50,42 +46,23 @@ def fingerprint(sketched: Column) -> Column:
     return F.lower(F.concat_ws("", F.transform(sketched, lambda x: F.lpad(F.hex(x), 16, "0"))))
 
 
-def _covered(a: Column, b: Column, fraction: float, floor: int) -> Column:
-    """Up to this hash both sketches are complete: one of fewer than `floor` hashes is a whole set."""
-    def end(s: Column) -> Column:
-        limit = F.lit(int(2**63 * fraction) - 1)
-        return F.when(F.size(s) < floor, F.lit(2**63 - 1)).otherwise(F.greatest(limit, F.element_at(s, -1)))
-
-    return F.least(end(a), end(b))
-
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated Jaccard similarity of the shingle sets, 0 to 1: hashes that both sketches keep over those that one keeps.
 
-def likeness(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
-    """Estimated Jaccard similarity of the shingle sets, 0 to 1: shared over all hashes in the range that both sketches cover.
-
-    Two documents without words are alike (1); one without words is unlike any other (0).
+    Two empty sketches are alike (1); an empty one is unlike any other (0).
     """
-    def of(top: Column) -> Column:
-        x, y = (F.filter(s, lambda h: h <= top) for s in (a, b))
-        shared = F.size(F.array_intersect(x, y))
-        return _bind(shared, lambda n: n / F.greatest(F.size(x) + F.size(y) - n, F.lit(1)))
-
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(_bind(_covered(a, b, fraction, floor), of))
-
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(_bind(shared, lambda n: n / (F.size(a) + F.size(b) - n)))
 
-def containment(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
-    """Estimated share of a's shingles that b has, 0 to 1; 1 if a has none."""
-    def of(top: Column) -> Column:
-        x = F.filter(a, lambda h: h <= top)
-        return F.when(F.size(x) == 0, 1.0).otherwise(F.size(F.array_intersect(x, b)) / F.size(x))
 
-    return _bind(_covered(a, b, fraction, floor), of)
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of a's shingles that b has, 0 to 1; 1 if a's sketch is empty."""
+    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def merged(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
+def merged(a: Column, b: Column) -> Column:
     """The sketch of the union of both documents' shingles."""
-    limit = int(2**63 * fraction)
-    return _bind(F.array_sort(F.array_union(a, b)), lambda s: _bind(F.filter(s, lambda h: h < limit), lambda low: F.when(
-        F.size(low) >= floor, low).otherwise(F.slice(s, 1, floor))))
+    return F.array_sort(F.array_union(a, b))
 
 
 def with_next(docs: DataFrame, made: dict[str, Column], *, buckets: int | None = None) -> DataFrame:
@@ -97,7 +74,9 @@ def with_next(docs: DataFrame, made: dict[str, Column], *, buckets: int | None =
     the end of its last one. Ranges are cut at quantiles; where one id has many rows, they are spread by their hash.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-size // BUCKET_BYTES))
     low = F.lit(-(2**63))
     rows = docs.select("doc_id", "text", F.bitwise_not(F.coalesce(F.col("doc_id"), low)).alias("_o"), F.xxhash64("text").alias("_h"))
     steps = [i / buckets for i in range(1, buckets)]
