@@ -15,9 +15,10 @@ from hourloom.llm import common as C
 BINS = 256
 
 
-def document_dimensions(size: Column, crc: Column) -> list[Column]:
-    """The text's size and its checksum, each refined by the other, so that only equal texts share a coordinate."""
-    return [size * F.lit(2**32) + crc, crc * F.lit(2**31) + F.least(size, F.lit(2**31 - 1))]
+def document_dimensions(text: Column, size: Column, crc: Column) -> list[Column]:
+    """The text's bytes, words and bytes beyond its characters (which tell scripts apart), with its checksum below each, so that only equal texts share a coordinate."""
+    beyond = F.octet_length(text) - F.char_length(text)
+    return [F.least(x, F.lit(2**31 - 1)).cast("long") * F.lit(2**32) + crc for x in (size, C.word_count(text), beyond)]
 
 
 def _cuts(rows: DataFrame, nodes: dict[int, dict], bins: int, tolerance: float) -> None:
@@ -97,8 +98,9 @@ def kd_shards(
     """
     text = F.col("text")
     sized = C.id_rows(docs, id_col, text_col).select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
-    rows = C.stage(sized.withColumn("coords", F.array(*document_dimensions(F.col("size"), F.col("text_crc32")))).withColumn("weight", F.col("size")), "kd-rows")
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"), "text")
+    coords = F.array(*document_dimensions(text, F.col("size"), F.col("text_crc32")))
+    rows = C.stage(sized.withColumn("coords", coords).withColumn("weight", F.col("size")).drop("text"), "kd-rows")
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
     if shards is None:
         shards = max(1, -(-(total or 0) // target_bytes))
