@@ -56,21 +56,23 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-    weight: Column | None = None, weights=WEIGHTS, share: float = SHARE, most: float = MOST, bins: int = BINS,
+    weight: Column | None = None, weights=WEIGHTS, share: float = SHARE, most: float = MOST, bins: int = BINS, carry: bool = False,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and the row key _key: one row per row of docs.
 
+    With carry also _doc, a struct of all columns of docs.
+
     A null text has no words; a null source is a source of its own, ordered last. Documents without words are taken in
     complete epochs and up to the budget's end like others. The document in which the budget ends is taken if at least
     half of it fits, so a source's taken words miss the target by at most half a document. Repeated rows count
     one by one. No rows in, no rows out.
     """
-    text = F.col("text")
+    text, more = F.col("text"), ["_doc"] if carry else []
     rows = C.stage(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_or_empty(text_col).alias("text"), F.col(source_col).cast("string").alias("source"),
-                    C.row_key(id_col, text_col).alias("_key"))
+                    C.row_key(id_col, text_col).alias("_key"), *[F.struct(*docs.columns).alias(c) for c in more])
         .select("doc_id", "source", "_key", F.monotonically_increasing_id().alias("_row"), C.word_count(text).alias("size"),
-                (-F.log(uniform(F.col("doc_id"), text)) / (quality_weight(text) if weight is None else weight)).alias("_es"))
+                (-F.log(uniform(F.col("doc_id"), text)) / (quality_weight(text) if weight is None else weight)).alias("_es"), *more)
         .withColumn("_bin", F.floor(F.col("_es") / (1 + F.col("_es")) * bins).cast("int")), "mix-rows",
     )
     binned = C.stage(rows.groupBy("source", "_bin").agg(F.sum("size").alias("s")), "mix-bins")
@@ -88,7 +90,9 @@ def mix(
     ends = C.stage(ends, "mix-ends")
     met = rows.join(ends, F.col("source").eqNullSafe(F.col("_s")))
     before = F.col("_from") + F.sum("size").over(W.partitionBy("source").orderBy("_es", "doc_id", "_row")) - F.col("size")
-    last = met.where("_bin = _last").withColumn("_more", (before + F.col("size") / 2 <= F.col("_rest")).cast("int"))
+    end = met.where("_bin = _last")
+    fits = end.drop(*more).select("_row", (before + F.col("size") / 2 <= F.col("_rest")).cast("int").alias("_more"))
+    last = end.join(fits, "_row").select(*met.columns, "_more")
     rest = met.where("_bin <> _last").withColumn("_more", (F.col("_bin") < F.col("_last")).cast("int"))
     return last.unionByName(rest).withColumn("copies", F.col("_epochs") + F.col("_more")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "_key", "_row")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "_key", "_row", *more)

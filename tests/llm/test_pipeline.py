@@ -34,6 +34,15 @@ def test_stages_keep_columns_and_rows(spark, documents):
     assert P.run(spark, SMALL).count() == docs.count()
 
 
+def test_the_mixture_of_repeated_rows_meets_its_budget(spark):
+    rows = [(7, "a b c", "en", "x", 5)] * 4 + [(8, "d e f", "en", "x", 5)] * 3 + [(9, "g h", "en", "y", 3), (None, "i j k l", "en", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.copies
+    assert +want == Counter(r.doc_id for r in P.mixed(spark, docs, SMALL).collect())
+
+
 def test_stages_take_odd_rows(spark, odd, nothing):
     for name, step in P.STAGES:
         assert step(spark, nothing, SMALL).count() == 0, name

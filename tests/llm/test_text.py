@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from hourloom.llm import bpe, fingerprints, hmm, mixing, quality, sharding, token_files, wrappers
@@ -28,6 +29,17 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def plain_sketch(t):
+    """Spark hashes a list of words one after the other, each seeded by the hash before, from 42."""
+    kept = set()
+    for words in shingles(t):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        kept.add(h >> 1)
+    return {h for h in kept if h < 2**61}
+
+
 def test_fingerprints_of_documents(documents, texts):
     order = sorted(texts, reverse=True)
     seen = {r.doc_id: r for r in fingerprints.fingerprint_edits(documents).collect()}
@@ -38,7 +50,11 @@ def test_fingerprints_of_documents(documents, texts):
         edit = t[: len(t) - n] + nxt[:n]
         r = seen[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edit.encode()).hexdigest())
-        assert abs(r.near_edited - jaccard(shingles(t), shingles(edit))) < 0.25 and abs(r.near_next - jaccard(shingles(t), shingles(nxt))) < 0.25
+        sketches = [plain_sketch(x) for x in (t, edit, nxt)]
+        assert [r.fingerprint, r.edited_fingerprint] == ["".join(f"{h:016x}" for h in sorted(x)) for x in sketches[:2]]
+        assert r.near_edited == pytest.approx(jaccard(sketches[0], sketches[1])) and r.near_next == pytest.approx(jaccard(sketches[0], sketches[2]))
+        if len(shingles(t)) >= 200:
+            assert abs(r.near_edited - jaccard(shingles(t), shingles(edit))) < 0.25 and abs(r.near_next - jaccard(shingles(t), shingles(nxt))) < 0.25
         by_text[t].add(r.fingerprint)
     assert all(len(x) == 1 for x in by_text.values())
 
@@ -110,6 +126,37 @@ def test_each_distinct_word_is_encoded_once(documents, texts):
     assert sum(r.encoded for r in got) == len(words) < sum(r.n for r in got) and len({r.unit for r in got}) > 3
 
 
+def plain_kd(points, weights, shards):
+    """Shard of each point: cut along the widest dimension, relative to all points, where the lower side holds its part."""
+    all_ranges = [max(1, r) for r in np.ptp(points, axis=0).tolist()]
+    out = np.zeros(len(points), int)
+
+    def split(rows, k, first):
+        if k == 1 or not len(rows):
+            out[rows] = first
+            return
+        wide = [r / a for r, a in zip(np.ptp(points[rows], axis=0).tolist(), all_ranges)]
+        x = points[rows, wide.index(max(wide))]
+        places = np.unique(x)
+        below = np.cumsum([weights[rows][x == p].sum() for p in places])
+        goal = k // 2 / k * below[-1]
+        i = int(np.searchsorted(below, goal))
+        i -= i > 0 and below[i] - goal > goal - below[i - 1]
+        split(rows[x <= places[i]], k // 2, first)
+        split(rows[x > places[i]], k - k // 2, first + k // 2)
+
+    split(np.arange(len(points)), shards, 0)
+    return out
+
+
+def test_shards_equal_a_plain_tree(spark, documents):
+    text, size = F.col("text"), F.octet_length("text").cast("long") + 1
+    coords = F.array(*sharding.document_dimensions(text, size, F.crc32(text.cast("binary"))))
+    rows = documents.where("text is not null").select("doc_id", coords.alias("coords"), size.alias("weight"))
+    got = sharding.kd_tree(rows, 5, tolerance=0).toPandas()
+    assert got["shard"].tolist() == plain_kd(np.array(got["coords"].tolist()), got["weight"].to_numpy(), 5).tolist()
+
+
 def test_shards_are_even_and_keep_copies_together(documents, odd, nothing):
     got = sharding.kd_shards(documents, shards=8, rows_a_bucket=20).toPandas()
     sums = got.groupby("shard")["size"].sum()
