@@ -7,18 +7,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import bpe, common, exact_dedup, mixing, ngram_join, quality
 from hourloom.llm.queries import tokenizer
 
-#: Rows to keep are found again by this key of a row's id and text.
+#: Rows to keep are found again by this key: a row's id with the hash of id and text, so that documents of different ids never share one.
 KEY = "_pipeline_key"
 
 
+def _key(found: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.hex(found)).alias(KEY)
+
+
 def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, common.row_key("doc_id", "text"))
+    return docs.select("*", _key(common.row_key("doc_id", "text")))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,22 +33,22 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts; of a row that repeats, one."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("row_key").alias(KEY)).distinct()
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(_key(F.col("row_key"))).distinct()
     return _with_key(docs).join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies; documents without words stay."""
     found = ngram_join.jaccard_components(docs)
-    kept = found.where((F.col("n_shingles") == 0) | F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("k").alias(KEY)).distinct()
+    first = (F.col("n_shingles") == 0) | F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    kept = found.where(first).select(_key(F.col("k"))).distinct()
     return _with_key(docs).join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
-    taken = mixing.mix(docs).groupBy(F.col("_key").alias(KEY)).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    times = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")  # of a row that repeats, as often for each
-    return _with_key(docs).join(taken, KEY).withColumn("_time", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    """Each row as often as the mixture takes it."""
+    taken = mixing.mix(docs, carry=True).where("copies > 0")
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
