@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from hourloom.llm import common as C
 from hourloom.llm.components import components
 from hourloom.llm.shingles import mixed, shingle_sets, signatures
+from hourloom.llm.words import sliced
 
 WORDS, THRESHOLD = 5, (75, 100)
 #: Counted often enough in more than one batch, a token is frequent; at most so many are known to all tasks.
@@ -97,7 +98,7 @@ def index(rows: DataFrame, frequent, words: int, t: tuple[int, int], parts: int)
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         names = [x.split()[0] for x in INDEX.split(", ")]
-        for b in batches:
+        for b in sliced(batches, 5000):
             row, base = b.column(0).to_numpy(), b.column(0)[0].as_py() if len(b) else 0
             sets = shingle_sets(b.column(2), words)
             sig = signatures(sets)
@@ -254,7 +255,7 @@ def _links(n: np.ndarray, tokens: list[bytes], t: tuple[int, int], split: int |
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Rows of sorted batches, gathered while their first `keys` columns stay the same; a row that comes again is left out."""
     now, held = None, []
-    for b in batches:
+    for b in sliced(batches):
         for r in zip(*[c.to_pylist() for c in b.columns]):
             if r[:keys] != now:
                 if held:
@@ -329,7 +330,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int, make: Callable[[np.nda
     known = spark.sparkContext.broadcast(np.unpackbits(field.view(np.uint8), bitorder="little"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             k = b.column(1).to_numpy()
             keep = np.nonzero(known.value[np.mod(k, slots)])[0]
             sets, k = shingle_sets(b.column(0).take(pa.array(keep)), words), k[keep]
