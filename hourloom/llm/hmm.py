@@ -6,8 +6,8 @@ count, less a discount that all unknown words of the class have together. So the
 probability of its classes times the shares of its rarer words, and both are exact.
 
 Baum-Welch runs over all training documents: each task adds up expected counts of its documents, Spark adds up
-the tasks'. The first parameters come from a bounded sample of documents. Counts of rarer words, which grow with the
-corpus, are never gathered: documents' rarer words are joined with them.
+the tasks'. The first parameters come from all of them as well: from a mixture in which every document has one state throughout.
+Counts of rarer words, which grow with the corpus, are never gathered: documents' rarer words are joined with them.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ from pyspark.sql import functions as F
 from hourloom.llm import common as C
 from hourloom.llm.words import frequent, sliced, split_words
 
-STATES, ROUNDS = 8, 2
+#: States, rounds of the mixture that the first parameters come from, and rounds of Baum-Welch; each over all training documents.
+STATES, FIRST_ROUNDS, ROUNDS = 8, 6, 2
 #: Words with a class of their own; classes of endings; words whose counts every task holds.
 WORD_CLASSES, ENDING_CLASSES, FREQUENT = 2**14, 2**11, 2**17
-#: Documents, and tokens of each, of the sample for the first parameters, and rounds over it.
-SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS = 1500, 2000, 15
 #: Training cuts longer texts into pieces of so many tokens; scoring doesn't. Tokens that a task works on at a time.
 PIECE, AT_A_TIME = 2**16, 300_000
 DISCOUNT, UNSEEN, PRIOR = 0.5, 0.5, 100.0
@@ -211,54 +210,71 @@ def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
     return first, moves, emitted
 
 
-def first_model(sequences: list[np.ndarray], v: Vocabulary, states: int, rounds: int) -> Model:
-    """Parameters from a sample: documents are dealt to states, then Baum-Welch runs over the sample."""
-    prior = v.prior()
-    rng = np.random.default_rng(7)
-    emitted = np.zeros((v.classes, states))
-    for x in sequences:
-        emitted[:, rng.integers(states)] += np.bincount(x, minlength=v.classes)
+def mixed(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """expected() where a sequence has one state throughout: there are no moves to count."""
+    s = len(model.start)
+    first, emitted, log_emit = np.zeros(s), np.zeros(model.emit.shape), np.log(model.emit)
+    sequences = [x[i : i + PIECE] for x in sequences for i in range(0, len(x), PIECE)]
+    lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    for part in _chunks(lengths):
+        flat, size = np.concatenate([sequences[i] for i in part]), lengths[part]
+        log = np.add.reduceat(log_emit[flat], np.cumsum(size) - size) + np.log(model.start)
+        share = np.exp(log - log.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+        first += share.sum(0)
+        for j in range(s):
+            emitted[:, j] += np.bincount(flat, np.repeat(share[:, j], size), len(emitted))
+    return first, np.zeros((s, s)), emitted
+
+
+def first_model(v: Vocabulary, states: int) -> Model:
+    """All words' shares, each state's times factors of its own, so that states differ; a state seldom changes."""
+    emit = v.prior()[:, None] * np.exp(np.random.default_rng(7).normal(size=(v.classes, states)) / 2)
     move = np.full((states, states), 0.1) + np.eye(states) * 20
-    model = maximised(np.zeros(states), move * 1000, emitted, prior)
-    for _ in range(rounds):
-        model = maximised(*expected(model, sequences), prior)
-    return model
+    return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def trained(table: DataFrame, v: Vocabulary, *, states: int = STATES, rounds: int = ROUNDS, sample: int = SAMPLE) -> Model:
-    spark = table.sparkSession
-    learnt = table.where(~F.col("held_out")).select("row", "codes")
-    share = min(1.0, sample / max(1, v.documents))
-    few = learnt.where(F.pmod(F.xxhash64("row"), F.lit(2**40)) < int(share * 2**40)).select("row", F.substring("codes", 1, 2 * SAMPLE_TOKENS).alias("codes")).orderBy("row").toArrow()  # about `sample` rows
-    model = first_model([np.frombuffer(x, np.uint16) for x in few.column("codes").to_pylist()], v, states, SAMPLE_ROUNDS)
+def _summed(learnt: DataFrame, model: Model, work) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """expected() or mixed() over all documents: tasks add up theirs, Spark the tasks'."""
+    now = learnt.sparkSession.sparkContext.broadcast(vars(model))
+    states, classes = len(model.start), len(model.emit)
     names = [f"s{i}" for i in range(states)]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            got = work(Model(**now.value), [np.frombuffer(x, np.uint16) for x in b.column(0).to_pylist()])
+            total = got if total is None else [x + y for x, y in zip(total, got)]
+        if total is not None:
+            first, moves, emitted = total
+            used = np.nonzero(emitted.sum(1))[0]
+            # Classes from 0; moves from state i as class -1 - i; first states as the class after those.
+            keys = np.concatenate([used, -1 - np.arange(len(moves)), [-1 - len(moves)]])
+            rows = np.concatenate([emitted[used], moves, first[None]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.ascontiguousarray(rows[:, j])) for j in range(rows.shape[1])]], names=["c", *names])
+
+    sums = learnt.select("codes").mapInArrow(counted, "c long, " + ", ".join(f"{x} double" for x in names)).groupBy("c").agg(*[F.sum(x).alias(x) for x in names]).toPandas()  # a row a class
+    now.unpersist()
+    values = sums.set_index("c").sort_index()
+    emitted, moves = np.zeros((classes, states)), np.zeros((states, states))
+    used = values.index[values.index >= 0]
+    emitted[used] = values.loc[used].to_numpy()
+    for i in range(states):
+        if -1 - i in values.index:
+            moves[i] = values.loc[-1 - i].to_numpy()
+    first = values.loc[-1 - states].to_numpy() if -1 - states in values.index else np.zeros(states)
+    return first, moves, emitted
+
+
+def trained(table: DataFrame, v: Vocabulary, *, states: int = STATES, rounds: int = ROUNDS, first_rounds: int = FIRST_ROUNDS) -> Model:
+    """Parameters from all training documents, in every round."""
+    learnt, prior = table.where(~F.col("held_out")).select("codes"), v.prior()
+    model = start = first_model(v, states)
+    for _ in range(first_rounds):
+        model = maximised(*_summed(learnt, model, mixed), prior)
+    model = Model(model.start, start.move, model.emit)
     for _ in range(rounds):
-        now = spark.sparkContext.broadcast(vars(model))
-
-        def counted(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total = None
-            for b in batches:
-                got = expected(Model(**now.value), [np.frombuffer(x, np.uint16) for x in b.column(0).to_pylist()])
-                total = got if total is None else [x + y for x, y in zip(total, got)]
-            if total is not None:
-                first, moves, emitted = total
-                used = np.nonzero(emitted.sum(1))[0]
-                # Classes from 0; moves from state i as class -1 - i; first states as the class after those.
-                keys = np.concatenate([used, -1 - np.arange(len(moves)), [-1 - len(moves)]])
-                rows = np.concatenate([emitted[used], moves, first[None]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.ascontiguousarray(rows[:, j])) for j in range(rows.shape[1])]], names=["c", *names])
-
-        sums = learnt.select("codes").mapInArrow(counted, "c long, " + ", ".join(f"{x} double" for x in names)).groupBy("c").agg(*[F.sum(x).alias(x) for x in names]).toPandas()  # a row a class
-        values = sums.set_index("c").sort_index()
-        emitted, moves = np.zeros((v.classes, states)), np.zeros((states, states))
-        used = values.index[values.index >= 0]
-        emitted[used] = values.loc[used].to_numpy()
-        for i in range(states):
-            if -1 - i in values.index:
-                moves[i] = values.loc[-1 - i].to_numpy()
-        first = values.loc[-1 - states].to_numpy() if -1 - states in values.index else np.zeros(states)
-        model = maximised(first, moves, emitted, v.prior())
-        now.unpersist()
+        model = maximised(*_summed(learnt, model, expected), prior)
     return model
 
 
@@ -273,7 +289,7 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, states: int = STATES, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, states: int = STATES, rounds: int = ROUNDS, first_rounds: int = FIRST_ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
     Null and white texts are an end alone. Null ids are trained on. Without training documents every token is unknown, and both scores are those of
@@ -285,7 +301,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents = rows.where(~F.col("held_out")).count()
     v = vocabulary(counts, documents)
     table = C.stage(coded(rows, spark.sparkContext.broadcast(vars(v))), "hmm-coded")
-    model = spark.sparkContext.broadcast(vars(trained(table, v, states=states, rounds=rounds, sample=sample)))
+    model = spark.sparkContext.broadcast(vars(trained(table, v, states=states, rounds=rounds, first_rounds=first_rounds)))
 
     rarer = table.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     known_least = v.counts.min() if len(v.counts) else float("inf")
