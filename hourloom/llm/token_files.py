@@ -16,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,39 @@ ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
 #: Pieces that a task remembers from batch to batch.
 REMEMBERED = 150_000
 #: New pieces that go to the tokenizer in one row.
-IN_A_ROW = 4000
+IN_A_ROW = 500
 # A space as byte-level vocabularies write it; texts that are not to be cut at spaces.
 SPACE_BYTE = "\u0120"
 UNSAFE = r"^ | $|  |^$|[\t-\r\x{85}\p{Z}] [\t-\r\x{85}\p{Z}]"
+WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
+SPACE_AT_ENDS = rf"\A{WHITE}|{WHITE}\z"
 END_ID = 0
 
 
+class _Pieces:
+    """Pieces by number, and the ids of all of them in one array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def find(self, names: list[str]) -> np.ndarray:
+        """Each name's number, -1 if unknown."""
+        return np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The names' numbers from now on."""
+        first = len(self.ends) - 1
+        self.number.update(zip(names, range(first, first + len(names))))
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return first + np.arange(len(names))
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each range, one range after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 @lru_cache(maxsize=1)
 def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to the ids of all, one text after the other, and how many each has; for byte-level tokenizers.
@@ -51,33 +78,37 @@ def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], tuple[np.ndarray,
     vocabulary = json.loads(tokenizer_json)["model"]["vocab"]
     opens = np.zeros(max(vocabulary.values()) + 1, bool)
     opens[[i for token, i in vocabulary.items() if token.startswith(SPACE_BYTE)]] = True
-    known: dict[str, bytes] = {}
-    older: dict[str, bytes] = {}
-
-    def bytes_of(texts: list[str]) -> list[bytes]:
-        return ids_of(texts, lambda ids: np.array(ids, "<u4").tobytes())
-
-    def learn(names: list[str]) -> None:
-        alone = {w for w in names if w[0] != " " or w[1].isspace() or w[-1].isspace()}
-        known.update(zip(alone, bytes_of(list(alone))))
-        rest = [w for w in names if w not in alone]
+    known, older = _Pieces(), _Pieces()
+
+    def each_alone(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        made = ids_of(texts, lambda ids: np.array(ids, np.int32))
+        return np.concatenate([np.empty(0, np.int32), *made]), np.fromiter(map(len, made), np.int64, len(made))
+
+    def learn(names: list[str], alone: np.ndarray) -> np.ndarray:
+        """The names' numbers."""
+        number = np.empty(len(names), np.int64)
+        by_itself = list(compress(names, alone.tolist()))
+        number[alone] = known.add(by_itself, *each_alone(by_itself))
+        rest = list(compress(names, (~alone).tolist()))
+        ids, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         for i in range(0, len(rest), IN_A_ROW):
             few = rest[i : i + IN_A_ROW]
-            ids = np.array(ids_of(["".join(few)])[0], np.int64)
-            at = np.nonzero(opens[np.minimum(ids, len(opens) - 1)])[0].tolist()
-            if len(at) == len(few):
-                row = ids.astype("<u4").tobytes()
-                known.update((w, row[4 * x : 4 * y]) for w, x, y in zip(few, at, [*at[1:], len(ids)]))
-            else:
-                known.update(zip(few, bytes_of(few)))
+            row = np.array(ids_of(["".join(few)])[0], np.int32)
+            at = np.flatnonzero(opens[np.minimum(row, len(opens) - 1)])
+            row, size = (row, np.diff(at, append=len(row))) if len(at) == len(few) else each_alone(few)
+            ids.append(row)
+            sizes.append(size)
+        number[~alone] = known.add(rest, np.concatenate(ids), np.concatenate(sizes))
+        return number
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         nonlocal known, older
-        if len(known) > REMEMBERED:
-            known, older = {}, known
+        if len(known.number) > REMEMBERED:
+            known, older = _Pieces(), known
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         plain = pc.invert(pc.match_substring_regex(texts, UNSAFE)).to_numpy(zero_copy_only=False)
-        whole = bytes_of(texts.filter(pa.array(~plain)).to_pylist())
+        whole, whole_size = each_alone(texts.filter(pa.array(~plain)).to_pylist())
         pieces = pc.split_pattern(texts.filter(pa.array(plain)), " ")
         ends = pieces.offsets.to_numpy()
         ends = ends - ends[0]
@@ -88,25 +119,33 @@ def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], tuple[np.ndarray,
         place = np.bincount(number, minlength=2 * len(coded.dictionary))
         used = np.nonzero(place)[0]
         place[used] = np.arange(len(used))
-        names = [w if odd else " " + w for w, odd in zip(coded.dictionary.take(pa.array(used // 2)).to_pylist(), (used % 2).tolist())]
-        new = [w for w in names if w not in known]
-        known.update((w, older[w]) for w in new if w in older)
-        learn([w for w in new if w not in older])
+        distinct = coded.dictionary.take(pa.array(used // 2))
+        names = [w if odd else " " + w for w, odd in zip(distinct.to_pylist(), (used % 2).tolist())]
+        at = known.find(names)
+        new = at < 0
+        fresh = list(compress(names, new.tolist()))
+        before = older.find(fresh) if older.number else np.full(len(fresh), -1)
+        again = before >= 0
+        begin, size = older.ends[before[again]], older.ends[before[again] + 1] - older.ends[before[again]]
+        number_of_fresh = np.empty(len(fresh), np.int64)
+        number_of_fresh[again] = known.add(list(compress(fresh, again.tolist())), older.ids[_ranges(begin, size)], size)
+        alone = (used % 2 == 1) | pc.match_substring_regex(distinct, SPACE_AT_ENDS).to_numpy(zero_copy_only=False)
+        number_of_fresh[~again] = learn(list(compress(fresh, (~again).tolist())), alone[new][~again])
+        at[new] = number_of_fresh
 
         # Texts as numbers of pieces, a whole text being one piece; pieces as ranges of one array of ids.
-        parts = [known[w] for w in names] + whole
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        ids = np.frombuffer(b"".join(parts), "<i4")
+        ids = np.concatenate([known.ids, whole])
+        begin = np.concatenate([known.ends[at], len(known.ids) + np.cumsum(whole_size) - whole_size])
+        size = np.concatenate([known.ends[at + 1] - known.ends[at], whole_size])
         many = np.ones(len(texts), np.int64)
         many[plain] = np.diff(ends)
         cut = np.repeat(plain, many)
         number_of = np.empty(len(cut), np.int64)
         number_of[cut] = place[number]
-        number_of[~cut] = len(names) + np.arange(len(whole))
+        number_of[~cut] = len(names) + np.arange(len(whole_size))
         each = size[number_of]
-        shift = (np.cumsum(size) - size)[number_of] - (np.cumsum(each) - each)
         totals = np.add.reduceat(each, np.cumsum(many) - many) if len(many) else many
-        return ids[np.repeat(shift, each) + np.arange(each.sum())], totals
+        return ids[_ranges(begin[number_of], each)], totals
 
     return encode
 

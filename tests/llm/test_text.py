@@ -103,6 +103,26 @@ def test_token_files_round_trip(odd, nothing, documents, texts, tmp_path, spark)
     assert token_files.token_table(nothing, spec).count() == 0
 
 
+def test_pieces_are_kept_as_ranges_of_ids(monkeypatch):
+    """op2: pieces are numbers and ranges of one array; those of the generation before are moved over, with the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    pieces = token_files._Pieces()
+    assert pieces.add([" a", " b"], np.array([5, 6, 7], np.int32), np.array([1, 2])).tolist() == [0, 1]
+    assert pieces.find([" b", " c", " a"]).tolist() == [1, -1, 0] and pieces.ends.tolist() == [0, 1, 3]
+    spec = tokenizer("byte_bpe_50k.json")
+    tok = Tokenizer.from_str(spec)
+    monkeypatch.setattr(token_files, "REMEMBERED", 3)
+    token_files.piece_encoder.cache_clear()
+    encode = token_files.piece_encoder(spec)
+    batches = [["a b c", " a", "b ", "x\n y", "q  z", None], ["", "a b zz", "\ta b", "a\u3000 b  c"], ["a\x1c b\x1f c", "c b a zz", "<|endoftext|> x"], []]
+    for texts in batches:
+        ids, n = encode(pa.array(texts, pa.string()))
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    token_files.piece_encoder.cache_clear()
+
+
 def test_bpe_equals_the_library(odd, nothing, documents):
     from tokenizers import Tokenizer
 
