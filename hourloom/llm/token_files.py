@@ -6,17 +6,20 @@ lengths and places reads none of the ids.
 
 Encoding uses a table of the distinct pieces between single spaces: the byte-level pattern never matches across such a space, so
 a text's ids are those of its pieces, each with the space before it. Texts with double spaces or spaces at an end go to the
-tokenizer whole.
+tokenizer whole. Pieces of letters, marks and single line ends are cut further, where the pattern always cuts them, and their
+parts go to the tokenizer's model.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import compress, repeat
+from itertools import chain, compress, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from hourloom.session import stage_root
 
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
 #: Pieces that a task remembers from batch to batch.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: New pieces that go to the tokenizer in one row.
 IN_A_ROW = 500
 # A space as byte-level vocabularies write it; texts that are not to be cut at spaces.
@@ -39,6 +42,13 @@ SPACE_BYTE = "\u0120"
 UNSAFE = r"^ | $|  |^$|[\t-\r\x{85}\p{Z}] [\t-\r\x{85}\p{Z}]"
 WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 SPACE_AT_ENDS = rf"\A{WHITE}|{WHITE}\z"
+# Letters and marks (no apostrophe, which may open a contraction) whose kind is beyond doubt; the parts of a piece, and pieces of nothing else.
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]+"
+PART = rf" ?{LETTERS}| ?{MARKS}|\n"
+OF_LETTERS = rf"\A ?{LETTERS}\z"
+OF_PARTS = rf"\A ?(?:{LETTERS}|{MARKS})+(?:\n(?:{LETTERS}|{MARKS})+)*\z"
+#: Parts that go to the tokenizer's model before their ids are put into an array.
+PARTS_AT_A_TIME = 4000
 END_ID = 0
 
 
@@ -66,16 +76,46 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+def _part_encoder(tokenizer_json: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None:
+    """A function from parts of pieces to the ids of all and how many each has, by the tokenizer's model alone.
+
+    None, if the tokenizer changes texts first or cuts them by another pattern than the byte-level one.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    cuts = json.loads(tokenizer_json)
+    by = cuts.get("pre_tokenizer") or {}
+    if cuts.get("normalizer") or by.get("type") != "ByteLevel" or by.get("add_prefix_space") or not by.get("use_regex", True):
+        return None
+    tokenize, id_of = Tokenizer.from_str(tokenizer_json).model.tokenize, attrgetter("id")
+    bytewise, char = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), np.zeros(256, "<u4")
+    for c in map(chr, range(256)):  # all bytes of the parts' characters, as byte-level vocabularies write them
+        char[list(c.encode())] = [ord(x) for x in bytewise.pre_tokenize_str(c)[0][0]]
+
+    def ids_of(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for i in range(0, len(parts), PARTS_AT_A_TIME):
+            written = char[np.frombuffer("\0".join(parts[i : i + PARTS_AT_A_TIME]).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            tokens = list(map(tokenize, written.split(chr(char[0]))))
+            ids.append(np.fromiter(map(id_of, chain.from_iterable(tokens)), np.int32))
+            sizes.append(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    return ids_of
+
+
 @lru_cache(maxsize=1)
 def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to the ids of all, one text after the other, and how many each has; for byte-level tokenizers.
 
     Made inside a task, and kept by the worker process for its next ones. Texts are cut at single spaces, where a tokenizer of this kind always cuts,
-    and each distinct piece is encoded once. New pieces go in long rows to the tokenizer; an id whose piece opens with a space begins the next
-    one. Texts with white space on both sides of a space are encoded whole.
+    and each distinct piece is encoded once. New pieces are put together from their parts, each of which is encoded once as well. Others go
+    in long rows to the tokenizer; an id whose piece opens with a space begins the next one. Texts with white space on both sides of a space
+    are encoded whole.
     """
-    ids_of = encoder(tokenizer_json)
+    ids_of, ids_of_parts, parts_of = encoder(tokenizer_json), _part_encoder(tokenizer_json), re.compile(PART).findall
     vocabulary = json.loads(tokenizer_json)["model"]["vocab"]
+    added = [token["content"] for token in json.loads(tokenizer_json).get("added_tokens") or []]
     opens = np.zeros(max(vocabulary.values()) + 1, bool)
     opens[[i for token, i in vocabulary.items() if token.startswith(SPACE_BYTE)]] = True
     known, older = _Pieces(), _Pieces()
@@ -85,8 +125,51 @@ def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], tuple[np.ndarray,
         made = ids_of(texts, lambda ids: np.array(ids, np.int32))
         return np.concatenate([np.empty(0, np.int32), *made]), np.fromiter(map(len, made), np.int64, len(made))
 
+    def recall(names: list[str]) -> np.ndarray:
+        """The names' numbers, -1 of new ones; what only the older pieces have is taken over."""
+        at = known.find(names)
+        missing = at < 0
+        if older.number and missing.any():
+            rest = list(compress(names, missing.tolist()))
+            before = older.find(rest)
+            again = before >= 0
+            begin, size = older.ends[before[again]], older.ends[before[again] + 1] - older.ends[before[again]]
+            at[np.flatnonzero(missing)[again]] = known.add(list(compress(rest, again.tolist())), older.ids[_ranges(begin, size)], size)
+        return at
+
+    def add_parts(parts: list[str]) -> np.ndarray:
+        return known.add(parts, *ids_of_parts(parts))
+
     def learn(names: list[str], alone: np.ndarray) -> np.ndarray:
         """The names' numbers."""
+        if ids_of_parts is None or not names:
+            return learn_others(names, alone)
+        number, all_names = np.empty(len(names), np.int64), pa.array(names, pa.large_string())
+        matches = lambda of: pc.match_substring_regex(all_names, of).to_numpy(zero_copy_only=False)
+        words, cut = matches(OF_LETTERS), matches(OF_PARTS)
+        for token in added:  # found in a text before it is cut
+            cut &= ~pc.match_substring(all_names, token).to_numpy(zero_copy_only=False)
+        words &= cut
+        cut &= ~words
+        number[words] = add_parts(list(compress(names, words.tolist())))
+        if cut.any():
+            joint = list(compress(names, cut.tolist()))
+            parts = list(map(parts_of, joint))
+            many = np.fromiter(map(len, parts), np.int64, len(parts))
+            coded = pa.array(list(chain.from_iterable(parts)), pa.large_string()).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            at = recall(distinct)
+            at[at < 0] = add_parts(list(compress(distinct, (at < 0).tolist())))
+            at = at[coded.indices.to_numpy()]
+            begin, size = known.ends[at], known.ends[at + 1] - known.ends[at]
+            sizes = np.add.reduceat(size, np.cumsum(many) - many)
+            number[cut] = known.add(joint, known.ids[_ranges(begin, size)], sizes)
+        others = ~(words | cut)
+        number[others] = learn_others(list(compress(names, others.tolist())), alone[others])
+        return number
+
+    def learn_others(names: list[str], alone: np.ndarray) -> np.ndarray:
+        """The numbers of names that go to the whole tokenizer."""
         number = np.empty(len(names), np.int64)
         by_itself = list(compress(names, alone.tolist()))
         number[alone] = known.add(by_itself, *each_alone(by_itself))
@@ -120,18 +203,11 @@ def piece_encoder(tokenizer_json: str) -> Callable[[pa.Array], tuple[np.ndarray,
         used = np.nonzero(place)[0]
         place[used] = np.arange(len(used))
         distinct = coded.dictionary.take(pa.array(used // 2))
-        names = [w if odd else " " + w for w, odd in zip(distinct.to_pylist(), (used % 2).tolist())]
-        at = known.find(names)
+        names = pc.binary_join_element_wise(pa.array([" ", ""], pa.large_string()).take(pa.array(used % 2)), distinct, pa.scalar("", pa.large_string())).to_pylist()
+        at = recall(names)
         new = at < 0
-        fresh = list(compress(names, new.tolist()))
-        before = older.find(fresh) if older.number else np.full(len(fresh), -1)
-        again = before >= 0
-        begin, size = older.ends[before[again]], older.ends[before[again] + 1] - older.ends[before[again]]
-        number_of_fresh = np.empty(len(fresh), np.int64)
-        number_of_fresh[again] = known.add(list(compress(fresh, again.tolist())), older.ids[_ranges(begin, size)], size)
         alone = (used % 2 == 1) | pc.match_substring_regex(distinct, SPACE_AT_ENDS).to_numpy(zero_copy_only=False)
-        number_of_fresh[~again] = learn(list(compress(fresh, (~again).tolist())), alone[new][~again])
-        at[new] = number_of_fresh
+        at[new] = learn(list(compress(names, new.tolist())), alone[new])
 
         # Texts as numbers of pieces, a whole text being one piece; pieces as ranges of one array of ids.
         ids = np.concatenate([known.ids, whole])

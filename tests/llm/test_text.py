@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -123,6 +124,34 @@ def test_pieces_are_kept_as_ranges_of_ids(monkeypatch):
     token_files.piece_encoder.cache_clear()
 
 
+def test_pieces_are_put_together_from_parts(monkeypatch):
+    """op2: letters, marks and line ends go to the model, once each, and only other pieces to the whole tokenizer; ids are the library's."""
+    from tokenizers import Tokenizer
+
+    spec = tokenizer("byte_bpe_50k.json")
+    tok, rows = Tokenizer.from_str(spec), []
+
+    def spied(tokenizer_json):
+        inner = real(tokenizer_json)
+        return lambda texts, *made: rows.extend(t for t in texts if t) or inner(texts, *made)
+
+    real = token_files.encoder
+    monkeypatch.setattr(token_files, "encoder", spied)
+    token_files.piece_encoder.cache_clear()
+    encode = token_files.piece_encoder(spec)
+    plain = ["Un été, déjà!", "(word) word. word,\nÀ word?%%% _a_b__ x=y;z #@& ...", "word", "a\nb.\nC", "&&& word\n&&& ~`^|"]
+    odd = ["it's we'll 'tis ''", "l'été 12,5 a1 ª µm º", "x\n\ny z", "e\u0301t\u00e9 \u6f22, a\ttab", "a<|endoftext|>b <|endoftext|> <|end", "a\x00b \u2019s", "×÷ a×b"]
+    for texts in (plain, odd, plain[::-1] + odd):
+        ids, n = encode(pa.array(texts, pa.string()))
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+        assert texts is not plain or not rows
+    token_files.piece_encoder.cache_clear()
+    other = json.loads(spec)
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    assert token_files._part_encoder(json.dumps(other)) is None
+
+
 def test_bpe_equals_the_library(odd, nothing, documents):
     from tokenizers import Tokenizer
 
