@@ -376,8 +376,8 @@ def jaccard_components(
     family = _within(chosen, lambda m: m.join(fields, "row"), _hopeful, t, block, "ngram-units").withColumnsRenamed({"v": "row", "label": "unit"})
     sizes = C.stage(unit_size(family), "ngram-families")
     families = C.stage(family.join(sizes, "unit").join(one, "row").select("unit", "row", "m", *again), "ngram-families-rows")
-    sets = _sets(rows, families, words, np.ndarray.tobytes)
-    label = _within(families, lambda m: m.join(sets, again), _links, t, block, "ngram-sets-met")
+    # Sets are made for the rows at hand: across blocks, those are the few of units that are still open.
+    label = _within(families, lambda m: m.join(_sets(rows, m, words, np.ndarray.tobytes), again), _links, t, block, "ngram-sets-met")
 
     named = nodes.join(firsts.select(*same, F.col("row").alias("first")), same, "left").join(label.withColumnRenamed("v", "first"), "first", "left")
     named = C.stage(named.select("doc_id", "n", "k", F.coalesce("label", "first", "row").alias("label")), "ngram-named")

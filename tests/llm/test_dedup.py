@@ -84,6 +84,24 @@ def test_near_copies_equal_all_pairs(spark, options):
     assert got == components_of(rows)
 
 
+def test_whole_sets_across_blocks_are_of_open_units_only(spark, monkeypatch):
+    """op3: a second comparison, across blocks, makes sets of the rows of units that are still open, not of all families again."""
+    wanted, real = [], N._sets
+
+    def spied(rows, m, words, make):
+        if make is not N.bit_field:
+            wanted.append(m.select("k").distinct().count())
+        return real(rows, m, words, make)
+
+    monkeypatch.setattr(N, "_sets", spied)
+    near = near_rows()
+    pairs = [(5000 + 2 * k + j, " ".join([f"p{k}-{i}" for i in range(40)] + ["end"] * j)) for k in range(40) for j in range(2)]
+    docs = spark.createDataFrame(near + pairs, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in N.jaccard_components(docs, block=7).collect())
+    assert got == components_of(near + pairs)
+    assert len(wanted) == 2 and wanted[0] >= 80 + wanted[1] > 80
+
+
 def test_odd_rows_equal_all_pairs(odd, nothing):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in N.jaccard_components(odd).collect())
     assert got == components_of([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()])
